@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 _made: list[tuple[SparkSession, str]] = []
+_results: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,22 +39,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it again: its lineage ends there.
 
+    With ``keep`` it outlives :func:`release` and goes when the program ends.
+
     The files survive the loss of executors, and what the write assigned
     (row ids, for one) is fixed from then on.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if keep:
+        _results.append(_made.pop())
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
+def release(results: bool = False) -> None:
     """Delete all scratch tables made so far. Call it once results that depend on them are written."""
-    while _made:
-        spark, path = _made.pop()
+    while paths := _made or (results and _results):
+        spark, path = paths.pop()
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -61,7 +66,7 @@ def release() -> None:
             continue
 
 
-atexit.register(release)
+atexit.register(release, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

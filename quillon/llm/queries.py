@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, line_dedup, mixing, packing
+from quillon.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.best_fit_packing,
     "op2_line_dedup": line_dedup.line_dedup,
     "op6_exact_dedup": exact_dedup.exact_dedup,
+    "op8_toxicity": toxicity.toxicity,
+    "op9_near_dedup": near_dedup.near_dedup,
     "op10_mixing": mixing.mixing,
 }
 
