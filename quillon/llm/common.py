@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of keys up to which a join side is broadcast (some 16 bytes of payload each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 
-_made: list[tuple[SparkSession, str]] = []
-_results: list[tuple[SparkSession, str]] = []
+#: Scratch tables by who asked for them.
+_made: dict[str, list[tuple[SparkSession, str]]] = {}
+_owners = ["operators"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,16 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; :func:`release` deletes it."""
+    """A new path in the shared folder; :func:`release` deletes it, at the latest when the program ends."""
     path = f"{shared_dir(spark)}/quillon/{uuid.uuid4().hex}-{name}"
-    _made.append((spark, path))
+    _made.setdefault(_owners[-1], []).append((spark, path))
     return path
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write a table to the shared folder and read it again: its lineage ends there.
+@contextmanager
+def owned(by: str) -> Iterator[None]:
+    """Scratch tables made inside belong to ``by``."""
+    _owners.append(by)
+    try:
+        yield
+    finally:
+        _owners.pop()
+
 
-    With ``keep`` it outlives :func:`release` and goes when the program ends.
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: its lineage ends there.
 
     The files survive the loss of executors, and what the write assigned
     (row ids, for one) is fixed from then on.
@@ -55,10 +66,9 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(results: bool = False) -> None:
-    """Delete all scratch tables made so far. Call it once results that depend on them are written."""
-    while paths := _made or (results and _results):
-        spark, path = paths.pop()
+def release(by: str) -> None:
+    """Delete the scratch tables of ``by``. Call it once results that depend on them are written."""
+    for spark, path in _made.pop(by, []):
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -66,7 +76,10 @@ def release(results: bool = False) -> None:
             continue
 
 
-atexit.register(release, True)
+@atexit.register
+def _release_all() -> None:
+    for by in list(_made):
+        release(by)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

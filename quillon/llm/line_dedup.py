@@ -87,22 +87,19 @@ def twice_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def suspects(filter_bytes: np.ndarray, bits: int):
-    """An Arrow UDF: the indexes of the hashes that the filter holds."""
+    """An Arrow UDF: for each of the hashes, whether the filter holds it."""
     spark = SparkSession.getActiveSession()
     shared = spark.sparkContext.broadcast(filter_bytes)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<boolean>")
     def held(rows: pa.Array) -> pa.Array:
         flat = np.asarray(rows.flatten())
         sizes = np.asarray(rows.value_lengths().fill_null(0))
         hit = np.ones(len(flat), dtype=bool)
         for at in bit_positions(flat, bits):
             hit &= (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(sizes)))])
-        index = (np.flatnonzero(hit) - starts[row[hit]]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(index))
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(hit))
 
     return held
 
@@ -131,9 +128,10 @@ def deduplicate_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text"
     hashed = F.transform(F.filter(lines, lambda x: ~blank(x)), lambda x: F.xxhash64(x))
     twice = twice_filter(held.select(hashed.alias("h")), bits)
     every = F.transform(lines, lambda x: F.when(blank(x), F.lit(-1).cast("long")).otherwise(F.xxhash64(x)))
-    found = held.select(row, F.col(ident).alias("_id"), lines.alias("_lines"), suspects(twice, bits)(every).alias("_at"))
-    exploded = found.where(F.size("_at") > 0).select(F.col(row).alias("_row"), "_id", "_lines", F.explode("_at").alias("_n"))
-    picked = exploded.select("_row", "_id", "_n", F.element_at("_lines", F.col("_n") + 1).alias("_line")).where(~blank(F.col("_line")))
+    found = held.select(row, F.col(ident).alias("_id"), F.col(text).alias("_text"), suspects(twice, bits)(every).alias("_hit"))
+    marked = F.transform(lines_of(F.col("_text")), lambda x, i: F.struct(i.alias("n"), x.alias("line"), F.get("_hit", i).alias("hit")))
+    exploded = found.select(F.col(row).alias("_row"), "_id", F.explode(F.filter(marked, lambda s: s["hit"] & ~blank(s["line"]))).alias("_s"))
+    picked = exploded.select("_row", "_id", F.col("_s.n").alias("_n"), F.col("_s.line").alias("_line"))
     picked = materialize(picked, "suspects")
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"), F.col("_n"))
     first = picked.groupBy("_line").agg(F.min(order).alias("_first")).select("_first._row", "_first._n")

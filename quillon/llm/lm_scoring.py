@@ -133,9 +133,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, ident: str = "doc_id",
         rows = []
         for n in range(order):
             values, counts = np.unique(hashes[n][there[n]], return_counts=True)
-            cut = np.searchsorted(values, edges[1:-1])
-            for p, (v, c) in enumerate(zip(np.split(values, cut), np.split(counts, cut))):
-                rows.append((n * parts + p, key[0], packed(v), c.astype("<i8").tobytes() if c.max(initial=0) >= 1 << 31 else c.astype("<i4").tobytes()))
+            # A row for each partition that the block has n-grams of: no more rows than n-grams, however many partitions.
+            part = np.searchsorted(edges[1:-1], values, side="right")
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            for a, b in zip(starts, np.append(starts[1:], len(values))):
+                c = counts[a:b]
+                rows.append((n * parts + int(part[a]), key[0], packed(values[a:b]), c.astype("<i8" if c.max() >= 1 << 31 else "<i4").tobytes()))
         return pd.DataFrame(rows, columns=["part", "block", "grams", "counts"])
 
     def numbers(data: bytes, size: int) -> np.ndarray:

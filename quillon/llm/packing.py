@@ -96,19 +96,15 @@ def best_fit(counts: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]
 def combinations(counts: np.ndarray, room: int) -> tuple[list[tuple[tuple[int, ...], int]], float]:
     """[(classes in a sequence, how many such sequences)] that hold exactly the counts, and the lower bound."""
     left, out, bound = counts.astype(np.int64).copy(), [], 0.0
-    for _ in range(60):
-        if left.sum() <= SMALL:
-            break
+    while left.any():
         combos, amounts, low = fractional(left, room)
         bound = bound or low
         whole = np.floor(amounts).astype(np.int64)
-        if not whole.any():
-            break
         for combo, n in zip(combos[whole > 0], whole[whole > 0]):
             out.append((tuple(np.repeat(np.arange(len(combo)), combo)[::-1].tolist()), int(n)))
         left = left - whole @ combos
-    if left.sum() > SMALL:  # many classes, each too small for a whole combination: halves go by best fit too
-        pass
+        if not whole.any() or left.sum() <= SMALL:
+            break
     return out + best_fit(left, room), bound
 
 
