@@ -60,8 +60,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if keep:
-        _results.append(_made.pop())
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
