@@ -69,7 +69,7 @@ def _semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _queries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return items.select(F.col("item_id").alias("qid"), F.array_join(F.slice(tokens("text"), 1, 3), " ").alias("text"))
+    return items.select(F.col("item_id").alias("qid"), "text")
 
 
 def _batch_and(spark: SparkSession, sf_dir: str) -> DataFrame:
