@@ -10,6 +10,7 @@ rows to drop are too many to broadcast.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ class DigestIndex:
         )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", carry: list[str] | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None, carry: list[str] | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose text neither the index nor an earlier row has; the index then has them too.
 
     Of rows with the same text the one with the smallest id stays (NULL ids
@@ -59,8 +60,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "0", carry: li
     matter and are returned as they are; ``carry`` limits the columns returned,
     and the digest is then added as ``digest``. An empty table gives an empty
     one. A batch that is run again under its name gives the same rows again:
-    it ignores what it appended itself.
+    it ignores what it appended itself. Without a name it is a batch of its
+    own, compared with all that the index has.
     """
+    batch = uuid.uuid4().hex if batch is None else batch
     row, dig = fresh(docs, "_row", "_digest")
     kept = [c for c in docs.columns if carry is None or c in carry]
     held = materialize(
