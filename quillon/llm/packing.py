@@ -5,12 +5,14 @@ on the corpus. A configuration linear program over it (how often to use each
 combination of lengths that fits a sequence) is solved by multiplicative
 weights: prices on lengths, and a knapsack dynamic program that finds the
 combination of most value at those prices. The solution is rounded down, and
-what is left is solved again and at last placed by best fit. Pieces then look
-up their sequence by their rank among pieces of the same length.
+what is left is placed by best fit; where best fit alone takes no more
+sequences, its result is used. Pieces then look up their sequence by their rank
+among pieces of the same length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +24,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import documents, fresh, materialize, word_count
 
 CAPACITY = 2048
-#: Lengths are rounded up to this many classes for the program.
-CLASSES = 256
+#: Capacity up to which the program is solved, whose time grows with its square.
+PROGRAM_ROOM = 4096
 STEP = 0.05
 ROUNDS = 400
-#: Pieces that rounding leaves at which best fit takes over.
-SMALL = 20_000
 #: Pieces of one length that one task ranks, about.
 RANK_ROWS = 2_000_000
 
@@ -73,51 +73,65 @@ def fractional(counts: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, f
 
 
 def best_fit(counts: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations by best-fit decreasing, for few pieces."""
-    bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(room + 1)]
+    """Combinations by best-fit decreasing. Sequences filled alike are handled as one, so that the work doesn't depend on the counts."""
+    by_room: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(room + 1)]
     open_rooms = np.zeros(room + 1, dtype=bool)
+
+    def put(held: tuple[int, ...], many: int, left: int) -> None:
+        if many:
+            by_room[left].append((held, many))
+            open_rooms[left] = True
+
     for c in range(len(counts) - 1, -1, -1):
-        for _ in range(int(counts[c])):
-            fits = np.flatnonzero(open_rooms[c + 1 :])
-            if len(fits):
-                left = int(fits[0]) + c + 1
-                b = by_room[left].pop()
+        size, n = c + 1, int(counts[c])
+        while n:
+            left = size + int(np.argmax(open_rooms[size:]))
+            if open_rooms[left]:
+                held, many = by_room[left].pop()
                 open_rooms[left] = bool(by_room[left])
             else:
-                left, b = room, len(bins)
-                bins.append([])
-            bins[b].append(c)
-            by_room[left - c - 1].append(b)
-            open_rooms[left - c - 1] = left > c + 1
-    return [(tuple(b), 1) for b in bins]
+                left, held, many = room, (), n
+            # The tightest sequence stays the tightest until no more pieces of this size fit.
+            each = left // size
+            full = min(many, n // each)
+            put(held + (c,) * each, full, left - each * size)
+            n, many = n - full * each, many - full
+            if many and n:
+                put(held + (c,) * n, 1, left - n * size)
+                n, many = 0, many - 1
+            if held:
+                put(held, many, left)
+    return [g for groups in by_room for g in groups]
 
 
 def combinations(counts: np.ndarray, room: int) -> tuple[list[tuple[tuple[int, ...], int]], float]:
-    """[(classes in a sequence, how many such sequences)] that hold exactly the counts, and the lower bound."""
-    left, out, bound = counts.astype(np.int64).copy(), [], 0.0
-    while left.any():
-        combos, amounts, low = fractional(left, room)
-        bound = bound or low
-        whole = np.floor(amounts).astype(np.int64)
-        for combo, n in zip(combos[whole > 0], whole[whole > 0]):
-            out.append((tuple(np.repeat(np.arange(len(combo)), combo)[::-1].tolist()), int(n)))
-        left = left - whole @ combos
-        if not whole.any() or left.sum() <= SMALL:
-            break
-    return out + best_fit(left, room), bound
+    """[(lengths less 1 in a sequence, how many such sequences)] that hold exactly the counts, and a lower bound on the sequences needed.
+
+    The program rounded down with best fit for the rest, or best fit for all
+    where that takes no more sequences, none can take fewer, or the capacity is
+    beyond PROGRAM_ROOM.
+    """
+    alone = best_fit(counts, room)
+    bound = float(counts @ np.arange(1, len(counts) + 1)) / room
+    used = lambda found: sum(n for _, n in found)
+    if room > PROGRAM_ROOM or used(alone) <= math.ceil(bound):
+        return alone, bound
+    combos, amounts, low = fractional(counts, room)
+    whole = np.floor(amounts).astype(np.int64)
+    out = [(tuple(np.repeat(np.arange(len(combo)), combo)[::-1].tolist()), int(n)) for combo, n in zip(combos[whole > 0], whole[whole > 0])]
+    out += best_fit(counts - whole @ combos, room)
+    return min(alone, out, key=used), max(bound, low)
 
 
 @dataclass
 class Plan:
-    """Runs of ranks by class: pieces first[i] and on of a class go to sequences bin[i] and on, at offset[i]."""
+    """Runs of ranks by class (length less 1): pieces first[i] and on of a class go to sequences bin[i] and on, at offset[i]."""
 
     first: list[np.ndarray]
     bin: list[np.ndarray]
     offset: list[np.ndarray]
     bins: int
     bound: float
-    grain: int
 
     def place(self, cls: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bins, offsets = np.zeros(len(cls), dtype=np.int64), np.zeros(len(cls), dtype=np.int64)
@@ -129,20 +143,20 @@ class Plan:
         return bins, offsets
 
 
-def make_plan(counts: np.ndarray, room: int, grain: int) -> Plan:
-    """counts[c]: pieces of class c, which take c + 1 grains."""
+def make_plan(counts: np.ndarray, room: int) -> Plan:
+    """counts[c]: pieces of class c, which take c + 1 units."""
     found, bound = combinations(counts, room)
     runs: list[list[tuple[int, int, int]]] = [[] for _ in counts]
     rank, bins = np.zeros(len(counts), dtype=np.int64), 0
     for combo, n in found:
         offset = 0
         for c in combo:
-            runs[c].append((int(rank[c]), bins, offset * grain))
+            runs[c].append((int(rank[c]), bins, offset))
             rank[c] += n
             offset += c + 1
         bins += n
     split = [np.array(r, dtype=np.int64).reshape(-1, 3).T for r in runs]
-    return Plan([s[0] for s in split], [s[1] for s in split], [s[2] for s in split], bins, bound, grain)
+    return Plan([s[0] for s in split], [s[1] for s in split], [s[2] for s in split], bins, bound)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,28 +166,23 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     space. A document longer than ``capacity`` is cut into pieces of just that
     length and a rest; ``start`` is where in the document a piece begins,
     ``position`` where in its sequence. Pieces in a sequence don't overlap and
-    end within ``capacity``. Lengths are rounded up to capacity / CLASSES for
-    placement. A document without units (NULL or empty text) gives one row of
+    end within ``capacity``. A document without units (NULL or empty text) gives one row of
     length 0 with NULL sequence and position. Repeated rows are placed one by
     one. NULL ids are carried along. Other columns don't matter. An empty table
     gives an empty result.
     """
-    grain = -(-capacity // CLASSES)
-    room = capacity // grain
     row, units = fresh(docs, "_row", "_units")
     count = length if length is not None else word_count(F.col(text))
     held = materialize(docs.select(F.col(ident).alias("doc_id"), F.monotonically_increasing_id().alias(row), F.coalesce(count, F.lit(0)).cast("long").alias(units)), "lengths")
-    # The largest piece that the classes can hold: grains may not divide the capacity.
-    whole = room * grain
     pieces = held.where(F.col(units) > 0).select(
-        "doc_id", F.col(row).alias("row"), F.col(units).alias("units"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(units) - 1, F.lit(whole).cast("long"))).alias("start")
+        "doc_id", F.col(row).alias("row"), F.col(units).alias("units"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(units) - 1, F.lit(capacity).cast("long"))).alias("start")
     )
-    pieces = pieces.select("doc_id", "row", "start", F.least(F.col("units") - F.col("start"), F.lit(whole)).alias("length"))
-    pieces = pieces.withColumn("class", (F.ceil(F.col("length") / F.lit(grain)) - 1).cast("int"))
-    counts = np.zeros(room, dtype=np.int64)
+    pieces = pieces.select("doc_id", "row", "start", F.least(F.col("units") - F.col("start"), F.lit(capacity)).alias("length"))
+    pieces = pieces.withColumn("class", (F.col("length") - 1).cast("int"))
+    counts = np.zeros(capacity, dtype=np.int64)
     for r in pieces.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["class"]] = r["n"]
-    plan = make_plan(counts, room, grain)
+    plan = make_plan(counts, capacity)
     shared = docs.sparkSession.sparkContext.broadcast(plan)
 
     # Ranks within a class: within a salt by a window, and behind the smaller salts by their counts.
