@@ -31,6 +31,8 @@ SHARD_MAX, SHARD_MIN = 262_144, 8_192
 SHARDS = 8
 QUERY_BLOCK = 2_048
 STEP = 384
+#: Similarities between candidates for back links that are held at a time, about; it sets how many nodes are done together.
+BACK_PAIRS = 10_000_000
 
 
 @dataclass
@@ -120,7 +122,7 @@ def diverse(vectors: np.ndarray, ids: np.ndarray, near: np.ndarray, m: int) -> n
 
 
 def _add_back(vectors: np.ndarray, table: np.ndarray, new: np.ndarray, room: int) -> None:
-    """Make the links of the new nodes mutual; a node with too many keeps diverse ones."""
+    """Make the links of the new nodes mutual; a node with too many keeps diverse ones, of all its candidates."""
     source = np.repeat(new, table.shape[1])
     to = table[new].ravel()
     keep = to >= 0
@@ -128,9 +130,14 @@ def _add_back(vectors: np.ndarray, table: np.ndarray, new: np.ndarray, room: int
     order = np.argsort(to, kind="stable")
     source, to = source[order], to[order]
     nodes, starts, counts = np.unique(to, return_index=True, return_counts=True)
-    for a in range(0, len(nodes), STEP):
-        own, at, size = nodes[a : a + STEP], starts[a : a + STEP], counts[a : a + STEP]
-        extra = np.full((len(own), min(int(size.max()), 4 * room)), -1, dtype=np.int64)
+    most = np.argsort(-counts, kind="stable")  # nodes with like numbers of candidates together
+    nodes, starts, counts = nodes[most], starts[most], counts[most]
+    a = 0
+    while a < len(nodes):
+        end = a + max(1, min(STEP, BACK_PAIRS // (room + int(counts[a])) ** 2))
+        own, at, size = nodes[a:end], starts[a:end], counts[a:end]
+        a = end
+        extra = np.full((len(own), int(size.max())), -1, dtype=np.int64)
         column = np.arange(extra.shape[1])
         held = column < size[:, None]
         extra[held] = source[(at[:, None] + np.minimum(column, size[:, None] - 1))[held]]
