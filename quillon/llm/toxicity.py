@@ -2,22 +2,23 @@
 
 Two zstandard dictionaries are trained: one on ordinary text, one on toxic
 text. Every window of a document is compressed with each; where the toxic
-dictionary saves more bytes the window resembles toxic text. A document's score
-sums what its windows save, and the threshold is calibrated on labelled
-documents that the training didn't see.
-
-Dictionaries are raw content: the commonest words of ordinary text, behind
-which the toxic one has the word beginnings that set toxic training documents
-apart (by a likelihood-ratio test that allows for the number of candidates) and
-the ordinary one has filler of the same size, so that nothing else differs.
-Bytes are shifted by their place in the word, so that only beginnings of words
-match beginnings of words.
+dictionary gives fewer bytes the window resembles toxic text. A document's
+score sums what its windows save beyond a margin; margin and threshold are
+calibrated on labelled documents that the training didn't see.
+
+Toxic documents are mostly made of ordinary words, so a dictionary trained on
+all of their text is one of ordinary text (see README for figures). The toxic
+dictionary is therefore trained on those stretches of toxic texts that recur
+among them and are rare in ordinary ones, and used in addition to the one
+trained on ordinary text; the ordinary side has filler of the same size, so
+that nothing else differs. Bytes are marked by their place in the word, so that
+only beginnings of words match beginnings of words.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +32,14 @@ from quillon.llm.common import documents, fresh
 #: Labelled documents of each class used for training and calibration, at most.
 MAX_LABELLED = 2500
 WINDOW_WORDS = 8
-COMMON_BYTES = 12_000
-TOXIC_BYTES = 4_000
-PREFIX = range(4, 13)
-#: A beginning is this many times as frequent in toxic documents, at least, and occurs in this many of them.
+#: Bytes of the dictionaries, and of the pieces of text that the ordinary one is trained on.
+ORDINARY_BYTES, TOXIC_BYTES, PIECE = 32_768, 2_048, 256
+#: Lengths in bytes of the runs by which toxic stretches are told.
+GRAMS = range(4, 9)
+#: Such a run is this many times as frequent in toxic documents, at least, and occurs in this many of them.
 RATIO, LEAST = 6.0, 4
+#: Bytes that a window must save before it counts; calibrated.
+MARGINS = range(4)
 #: A falsely rejected document weighs as much as this many missed ones.
 FALSE_ALARM = 5.0
 SPACE = 32
@@ -66,7 +70,7 @@ def windows(text: str) -> list[bytes]:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_LAZY2, window_log=15, chain_log=15, hash_log=15, search_log=6, min_match=4, target_length=64,
+        strategy=zstandard.STRATEGY_LAZY2, window_log=17, chain_log=16, hash_log=16, search_log=6, min_match=4, target_length=64,
         write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -74,10 +78,6 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=held, compression_params=parameters)
 
 
-def beginnings(text: str) -> set[str]:
-    return {w[:k] for w in set(text.lower().split()) for k in PREFIX if k <= len(w)}
-
-
 def distinct(texts: list[str]) -> list[str]:
     """The texts without near copies of earlier ones: a copied text is evidence once."""
     seen: set[tuple[str, ...]] = set()
@@ -91,82 +91,116 @@ def distinct(texts: list[str]) -> list[str]:
     return out
 
 
-def telling(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Word beginnings that mark toxic documents, strongest first."""
-    there, elsewhere = Counter(), Counter()
-    for text in toxic:
-        there.update(beginnings(text))
-    for text in ordinary:
-        elsewhere.update(beginnings(text))
-    n, m = len(toxic), max(1, len(ordinary))
-    candidates = [(s, c) for s, c in there.items() if c >= LEAST]
-    bar, scored = 2 * math.log(2 * max(1, len(candidates))), []
-    for s, c in candidates:
-        d = elsewhere.get(s, 0)
-        if c / n < RATIO * (d + 0.5) / m:
-            continue
-        p = (c + d) / (n + m)
-        term = lambda k, of, q: k * math.log(k / (of * q)) if k else 0.0
-        gain = 2 * (term(c, n, p) + term(d, m, p) + term(n - c, n, 1 - p) + term(m - d, m, 1 - p))
-        if gain > bar:
-            scored.append((gain, s, c))
-    out: dict[str, int] = {}
-    size = 0
-    for _, s, c in sorted(scored, key=lambda x: (-x[0], -len(x[1]), x[1])):
-        shorter = max((out[s[:k]] for k in PREFIX if s[:k] in out and k < len(s)), default=0)
-        if any(x.startswith(s) for x in out) or 2 * c < shorter:
-            continue
-        out[s] = c
-        size += len(s.encode()) + 1
-        if size >= TOXIC_BYTES:
-            break
-    return list(out)
+def prepared(text: str) -> bytes:
+    """The marked words of a text, a space around each."""
+    return mark((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "surrogatepass"))
+
+
+def gram_hashes(data: bytes, n: int) -> np.ndarray:
+    """Hashes of the runs of n bytes, 0 for runs with a space between other bytes."""
+    a = np.frombuffer(data, dtype=np.uint8)
+    if len(a) < n:
+        return np.empty(0, dtype=np.uint64)
+    h = np.zeros(len(a) - n + 1, dtype=np.uint64)
+    for i in range(n):
+        h = (h ^ a[i : len(a) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    spaces = np.concatenate([[0], np.cumsum(a == SPACE)])
+    inside = spaces[n - 1 :][: len(h)] - spaces[1:][: len(h)]
+    return np.where(inside > 0, np.uint64(0), h)
+
+
+def contrasts(own: list[bytes], other: list[bytes]) -> dict[int, np.ndarray]:
+    """By length, the runs of bytes that LEAST of the own texts have and that are RATIO times as frequent there as in the others."""
+    out = {}
+    for n in GRAMS:
+        count = lambda texts: np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *[np.unique(gram_hashes(t, n)) for t in texts]]), return_counts=True)
+        (held, c), (elsewhere, d) = count(own), count(other)
+        at = np.minimum(np.searchsorted(elsewhere, held), max(0, len(elsewhere) - 1))
+        found = np.where(elsewhere[at] == held, d[at], 0) if len(elsewhere) else np.zeros(len(held))
+        out[n] = held[(c >= LEAST) & (held != 0) & (c / max(1, len(own)) >= RATIO * (found + 0.5) / max(1, len(other)))]
+    return out
+
+
+def samples(texts: list[bytes], wanted: dict[int, np.ndarray]) -> list[bytes]:
+    """Of each text the stretches that the wanted runs cover, each once."""
+    out = []
+    for data in texts:
+        cover = np.zeros(len(data) + 1, dtype=np.int64)
+        for n, values in wanted.items():
+            hit = np.flatnonzero(np.isin(gram_hashes(data, n), values))
+            np.add.at(cover, hit, 1)
+            np.add.at(cover, hit + n, -1)
+        inside = np.concatenate([[0], (np.cumsum(cover)[: len(data)] > 0).astype(np.int8), [0]])
+        edges = np.flatnonzero(np.diff(inside))
+        runs = dict.fromkeys(data[i:j] for i, j in zip(edges[::2], edges[1::2]))
+        if runs:
+            out.append(b"\n".join(runs))
+    return out
+
+
+def trained(size: int, texts: list[bytes], **parameters: int) -> bytes:
+    """A dictionary by zstandard's own trainer; what it can't be trained on (too few or too short samples) is used as it is."""
+    usable = [t for t in texts if len(t) >= 8]
+    try:
+        return zstandard.train_dictionary(size, usable, **parameters).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(usable)[-size:]
 
 
 @dataclass
 class Model:
-    """Contents of both dictionaries and the score from which a document counts as toxic."""
+    """Contents of both dictionaries, the bytes that a window must save, and the score from which a document counts as toxic."""
 
     ordinary: bytes
     toxic: bytes
     threshold: float
+    margin: int
 
-    def scorer(self):
+    def scorer(self) -> Callable[[str | None], float]:
+        gains = self.gains()
+        return lambda text: total(gains(text), self.margin)
+
+    def gains(self) -> Callable[[str | None], np.ndarray]:
+        """For each window of a text, the bytes by which the toxic dictionary compresses it better than the ordinary one."""
         a, b = compressor(self.ordinary), compressor(self.toxic)
 
-        def score(text: str | None) -> float:
+        def each(text: str | None) -> np.ndarray:
             held = windows(text or "")
             if not held:
-                return 0.0
+                return np.empty(0, dtype=np.int64)
             plain, close = a.multi_compress_to_buffer(held, threads=1), b.multi_compress_to_buffer(held, threads=1)
-            saved = [max(0, len(plain[i]) - len(close[i]) - 1) for i in range(len(held))]
-            return sum(saved) / math.sqrt(len(held) + 8)
+            return np.array([len(plain[i]) - len(close[i]) for i in range(len(held))])
+
+        return each
+
 
-        return score
+def total(gains: np.ndarray, margin: int) -> float:
+    """What the windows save beyond the margin, over the square root of their number."""
+    return float(np.maximum(gains - margin, 0).sum() / math.sqrt(len(gains) + 8))
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Two in three texts of each class for the dictionaries, the third for the threshold."""
+    """Two in three texts of each class for the dictionaries, the third for margin and threshold."""
     part = lambda texts, last: [t for i, t in enumerate(texts) if (i % 3 == 2) == last]
-    words = Counter(w for t in part(ordinary, False) for w in t.lower().split())
-    common, size = [], 0
-    for word, _ in words.most_common():
-        size += len(word.encode("utf-8", "surrogatepass")) + 1
-        if size > COMMON_BYTES:
-            break
-        common.append(word)
-    marks = telling(distinct(part(toxic, False)), part(ordinary, False))
-    join = lambda ws: (" " + " ".join(reversed(ws)) + " ").encode("utf-8", "surrogatepass")
-    base, extra = ANCHOR + mark(join(common)), mark(join(marks)) if marks else b" "
-    model = Model(base + bytes(len(extra)) + TAIL, base + extra + TAIL, math.inf)
-    if marks:
-        score = model.scorer()
-        hits, clear = np.sort([score(t) for t in part(toxic, True)]), np.sort([score(t) for t in part(ordinary, True)])
-        cuts = np.unique(np.concatenate([hits, clear, [0.0]]))
+    own, other = [prepared(t) for t in distinct(part(toxic, False))], [prepared(t) for t in part(ordinary, False)]
+    held = samples(own, contrasts(own, other))
+    if not held:
+        return Model(ANCHOR + TAIL, ANCHOR + TAIL, math.inf, 0)
+    pieces = [t[i : i + PIECE] for t in other for i in range(0, len(t), PIECE)]
+    base = trained(ORDINARY_BYTES, pieces, k=64, d=6)
+    extra = trained(TOXIC_BYTES, held, k=32, d=6)
+    model = Model(ANCHOR + base + bytes(len(extra)) + TAIL, ANCHOR + base + extra + TAIL, math.inf, 0)
+    gains = model.gains()
+    hits, clear = ([gains(t) for t in part(texts, True)] for texts in (toxic, ordinary))
+    best = math.inf
+    for margin in MARGINS:
+        a, b = np.sort([total(g, margin) for g in hits]), np.sort([total(g, margin) for g in clear])
+        cuts = np.unique(np.concatenate([a, b, [0.0]]))
         cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1)
-        missed = np.searchsorted(hits, cuts) / max(1, len(hits))
-        wrong = 1 - np.searchsorted(clear, cuts) / max(1, len(clear))
-        model.threshold = float(cuts[np.argmin(missed + FALSE_ALARM * wrong)])
+        cost = np.searchsorted(a, cuts) / max(1, len(a)) + FALSE_ALARM * (1 - np.searchsorted(b, cuts) / max(1, len(b)))
+        if cost.min() < best:
+            best, model.margin, model.threshold = float(cost.min()), margin, float(cuts[np.argmin(cost)])
     return model
 
 
