@@ -88,12 +88,16 @@ class Machine:
 
 def _rows(x: Sparse, rows: np.ndarray) -> Sparse:
     starts = np.concatenate([[0], x.ends[:-1]])
-    take = np.concatenate([np.arange(starts[r], x.ends[r]) for r in rows])
+    take = np.concatenate([np.empty(0, dtype=np.int64), *[np.arange(starts[r], x.ends[r]) for r in rows]])
     return Sparse(x.columns[take], x.values[take], np.cumsum(x.ends[rows] - starts[rows]))
 
 
 def train(x: Sparse, y: np.ndarray, seed: int = 3) -> Machine:
-    """Adagrad over four in five rows, classes weighted alike; the fifth sets the threshold."""
+    """Adagrad over four in five rows, classes weighted alike; the fifth sets the threshold.
+
+    With rows of one class only, or none, everything is kept; with too few
+    rows for a fifth that has both classes the threshold is one half.
+    """
     rng = np.random.default_rng(seed)
     machine = Machine(0.0, np.zeros(SIZE, dtype=np.float32), rng.normal(0, 0.05, (SIZE, RANK)).astype(np.float32))
     if len(np.unique(y)) < 2:
@@ -126,6 +130,8 @@ def train(x: Sparse, y: np.ndarray, seed: int = 3) -> Machine:
             g_bias += float(error.sum()) ** 2
             machine.bias -= RATE * float(error.sum()) / g_bias**0.5
     check = np.flatnonzero(held_out)
+    if len(np.unique(y[check])) < 2:
+        return machine
     p, t = machine.probability(_rows(x, check)), y[check]
     good, bad = np.sort(p[t == 1]), np.sort(p[t == 0])
     cuts = np.unique(np.concatenate([p, [0.0, 0.5, 1.0]]))
