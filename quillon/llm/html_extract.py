@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,13 @@ HIDDEN = 20
 MAX_PAGES = 600
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 HIDE = 0.7
+#: Names of the path weigh this much less with each step up from the block.
+FADE = 0.8
+#: Pages longer than this are not trained on; all are labelled.
+MAX_TRAIN_CHARS = 1_000_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
+#: What hides the rest of a page that has no further ">".
+HIDING = re.compile(r"<!--|<(?:script|style|noscript|template)\b", re.I)
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?([\w -]+)""", re.I)
 INLINE = frozenset("a b i u em strong span small sub sup code mark q s abbr cite font time br img wbr".split())
 VOID = frozenset("br img hr meta link input wbr area base col embed source track".split())
@@ -36,17 +43,89 @@ CONTENT = frozenset(["article", "main"])
 OTHER = frozenset(["nav", "footer", "aside", "header", "ad", "ads", "head", "sidebar", "menu"])
 
 
+class Buckets(dict):
+    """Bucket of each name or word, hashed once while the table of them is small."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, name: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[name] = out = zlib.crc32(name.lower().encode("utf-8", "surrogatepass")) % self.size
+        return out
+
+
+path_bucket, word_bucket = Buckets(PATH), Buckets(WORD)
+
+
 @dataclass
 class Block:
+    """Text, characters of it in links, hashed tag path with and without telling names, and 1 for content by the page's own structure."""
+
     text: str
-    path: tuple[str, ...]
     links: int
+    path: np.ndarray
+    blind: np.ndarray
+    label: int
+
+
+@dataclass
+class Frame:
+    """An open element; ``path``, ``blind`` and ``label`` are those of blocks directly in it."""
+
+    tag: str
+    path: np.ndarray
+    blind: np.ndarray
+    label: int
+
+
+class Stack:
+    """The open elements. Looking one up takes no time that grows with the depth, unless elements are closed by it."""
+
+    def __init__(self) -> None:
+        none = np.zeros(PATH, dtype=np.float32)
+        self.frames = [Frame("", none, none, 0)]
+        self.open: Counter[str] = Counter()
+        #: Open elements since each that only its own end closes.
+        self.within: list[Counter[str]] = [Counter()]
+
+    def push(self, tag: str, names: list[str]) -> None:
+        top = self.frames[-1]
+        path, blind, label = FADE * top.path, FADE * top.blind, top.label
+        for name in names:
+            path[path_bucket[name]] += 1
+            if name in CONTENT or name in OTHER:
+                label = int(name in CONTENT)
+            else:
+                blind[path_bucket[name]] += 1
+        self.frames.append(Frame(tag, path, blind, label))
+        self.open[tag] += 1
+        if tag in LOOSE or tag in INLINE:
+            self.within[-1][tag] += 1
+        else:
+            self.within.append(Counter())
+
+    def close(self, tag: str, loosely: bool) -> None:
+        """End the innermost element of that tag and what is in it; loosely: only if nothing firm is in between."""
+        if not (self.within[-1][tag] if loosely else self.open[tag]):
+            return
+        while True:
+            ended = self.frames.pop().tag
+            self.open[ended] -= 1
+            if ended in LOOSE or ended in INLINE:
+                self.within[-1][ended] -= 1
+            else:
+                self.within.pop()
+            if ended == tag:
+                return
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order, with the tags and classes above each; scripts, styles and comments are skipped."""
+    """The text blocks of a page in order; scripts, styles and comments are skipped. Linear in the page's length."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     held: list[str] = []
     links = at = 0
     page = page or ""
@@ -55,19 +134,24 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal links
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            out.append(Block(text, tuple(x for _, names in stack for x in names), links))
+            top = stack.frames[-1]
+            out.append(Block(text, links, top.path, top.blind, top.label))
         held.clear()
         links = 0
 
-    for m in TOKEN.finditer(page):
+    end = page.rfind(">") + 1
+    hidden = False
+    for m in TOKEN.finditer(page, 0, end):
         if m.start() > at:
             piece = page[at : m.start()]
             held.append(piece)
-            if stack and any(tag == "a" for tag, _ in stack[-3:]):
+            if any(frame.tag == "a" for frame in stack.frames[-3:]):
                 links += len(piece)
         at = m.end()
         name = m.group(3)
         if name is None:
+            whole = m.group(0)
+            hidden = at == end and (whole.startswith("<!--") and not whole.endswith("-->") or bool(m.group(1)) and not re.search(rf"</{m.group(1)}\s*>\Z", whole, re.I))
             continue
         tag = name.lower()
         if tag not in INLINE:
@@ -75,61 +159,25 @@ def blocks(page: str | None) -> list[Block]:
         elif tag == "br":
             held.append(" ")
         if m.group(2):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in INLINE or all(t in LOOSE or t in INLINE for t, _ in stack[i + 1 :]) or tag not in LOOSE:
-                        del stack[i:]
-                    break
+            stack.close(tag, tag in LOOSE and tag not in INLINE)
         elif tag not in VOID:
             if tag in LOOSE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] not in LOOSE and stack[i][0] not in INLINE:
-                        break
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                stack.close(tag, True)
             marks = CLASS.findall(m.group(4)) if m.group(4) else []
-            stack.append((tag, (tag, *[w.lower() for x in marks for w in x.split()])))
-    held.append(page[at:])
+            stack.push(tag, [tag, *(w.lower() for x in marks for w in x.split())])
+    if not hidden:
+        rest = HIDING.search(page, max(at, end))
+        held.append(page[at : rest.start() if rest else len(page)])
     flush()
     return out
 
 
-def target(block: Block) -> int:
-    """1 for content by the page's own structure: the innermost telling tag decides."""
-    for name in reversed(block.path):
-        if name in OTHER:
-            return 0
-        if name in CONTENT:
-            return 1
-    return 0
-
-
-class Buckets(dict):
-    """Bucket of each name or word, hashed once while the table of them is small."""
-
-    def __init__(self, size: int, prefix: int | None = None):
-        super().__init__()
-        self.size, self.prefix = size, prefix
-
-    def __missing__(self, name: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        start = name.lower()[: self.prefix]
-        self[name] = out = zlib.crc32(start.encode("utf-8", "surrogatepass")) % self.size
-        return out
-
-
-path_bucket, word_bucket = Buckets(PATH), Buckets(WORD, 6)
-
-
-def vectors(page: list[Block], hidden: frozenset[str] = frozenset()) -> np.ndarray:
-    """(blocks, INPUT); names in ``hidden`` are left out of tag paths."""
+def vectors(page: list[Block], blind: bool = False) -> np.ndarray:
+    """(blocks, INPUT): tag path, words, statistics; ``blind`` leaves telling names out of tag paths."""
     out = np.zeros((len(page), INPUT), dtype=np.float32)
     for i, b in enumerate(page):
         row = out[i]
-        for depth, name in enumerate([x for x in b.path if x not in hidden][-6:]):
-            row[path_bucket[name]] += 0.5 + depth / 12
+        row[:PATH] = b.blind if blind else b.path
         words = b.text.split()
         at = np.fromiter(map(word_bucket.__getitem__, words), dtype=np.int64, count=len(words))
         row[PATH : PATH + WORD] = np.bincount(at, minlength=WORD) / np.sqrt(len(words))
@@ -156,8 +204,8 @@ class Labeller:
     def _sigmoid(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-z))
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states (time, batch, HIDDEN) in time order; masked steps keep the state."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states (time, batch, HIDDEN) in time order, and what gradients need if it is to be kept; masked steps keep the state."""
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
         h = c = np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
         out, tape = np.zeros((*x.shape[:2], HIDDEN), dtype=np.float32), []
@@ -169,19 +217,20 @@ class Labeller:
             c2 = f * c + i * g
             th = np.tanh(c2)
             m = mask[t][:, None]
-            tape.append((t, h, c, i, f, g, o, th, m))
+            if keep:
+                tape.append((t, h, c, i, f, g, o, th, m))
             h, c = np.where(m, o * th, h), np.where(m, c2, c)
             out[t] = h
         return out, tape
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        (hf, tf), (hb, tb) = self._run(x, mask, "f"), self._run(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        (hf, tf), (hb, tb) = self._run(x, mask, "f", keep), self._run(x, mask, "b", keep)
         both = np.concatenate([hf, hb], axis=2)
         return self._sigmoid(both @ self.w["o"] + self.w["b"][0]), (both, tf, tb)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy over unmasked steps, by backpropagation through time."""
-        p, (both, tf, tb) = self.forward(x, mask)
+        p, (both, tf, tb) = self.forward(x, mask, keep=True)
         e = np.where(mask, p - y, 0).astype(np.float32) / max(1, mask.sum())
         grads = {"o": np.einsum("tb,tbh->h", e, both), "b": np.array([e.sum()], dtype=np.float32)}
         back = e[:, :, None] * self.w["o"]
@@ -215,12 +264,11 @@ def train(pages: list[str], seed: int = 5) -> Labeller:
     """Adam over pages that have both content and other blocks."""
     rng = np.random.default_rng(seed)
     held = [b for b in map(blocks, pages) if b]
-    targets = [np.array([target(x) for x in b], dtype=np.float32) for b in held]
+    targets = [np.array([x.label for x in b], dtype=np.float32) for b in held]
     model = Labeller(seed)
     first, second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
     shown = [vectors(b) for b in held]
-    telling = CONTENT | OTHER
-    blind = [vectors(b, telling) for b in held]
+    blind = [vectors(b, blind=True) for b in held]
     step = 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(held))
@@ -258,17 +306,23 @@ def label(model: Labeller, pages: list[list[Block]], size: int = 128) -> list[np
 
 
 def fit(pages: DataFrame, limit: int = MAX_PAGES, ident: str = "page_id", column: str = "html") -> Labeller:
-    """A labeller from at most ``limit`` pages that have an article or main element, chosen by a hash of the id."""
-    usable = pages.where(F.lower(F.col(column)).rlike("<(article|main)[ >]"))
-    rows = usable.select(F.xxhash64(ident).alias("h"), F.col(ident).alias("i"), F.col(column).alias("t")).orderBy("h", "i", "t").limit(limit).collect()
-    return train([r["t"] for r in rows]) if rows else train([])
+    """A labeller from at most ``limit`` pages that have an article or main element, chosen by a hash of the id.
+
+    Ids are chosen first, so that the driver gets no other pages. Pages without
+    an id or longer than MAX_TRAIN_CHARS aren't trained on.
+    """
+    usable = pages.select(F.col(ident).alias("i"), F.col(column).alias("t")).where(F.col("i").isNotNull() & (F.length("t") <= MAX_TRAIN_CHARS) & F.col("t").rlike("(?i)<(article|main)[ >]"))
+    chosen = usable.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(limit)
+    rows = usable.join(F.broadcast(chosen), "i", "left_semi").groupBy("i").agg(F.min("t").alias("t")).collect()
+    return train([r["t"] for r in sorted(rows, key=lambda r: zlib.crc32(repr(r["i"]).encode()))])
 
 
 def extract(pages: DataFrame, model: Labeller, ident: str = "page_id", column: str = "html") -> DataFrame:
     """(page_id, text, n_blocks, n_content): the content blocks of each page, a line each.
 
     A page that is NULL, empty or without text has an empty text and no blocks.
-    Pages of any length are read whole, unclosed tags and comments included.
+    Pages of any length are read whole, unclosed tags and comments included, in
+    time and memory linear in their length.
     Repeated rows give repeated results; extra columns don't matter; an empty
     table gives an empty one.
     """
