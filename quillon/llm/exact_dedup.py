@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import documents, fresh, join_checked, materialize, scratch_path
 
 BUCKETS = 64
+#: Files a bucket from which the index is written anew.
+COMPACT = 16
 
 
 def digest(text: Column) -> Column:
@@ -26,29 +28,84 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A bucketed table (digest BINARY, batch STRING) at a path, usable from any session."""
+    """A bucketed table (digest BINARY, batch STRING) at a path, usable from any session.
+
+    ``buckets`` counts when the index is made and is stored with it: some 100
+    million digests a bucket are 5 GB. Every append adds a file to a bucket;
+    from COMPACT files on, the index is written anew with one file each, so
+    that its sort order holds again.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = "quillon_digests_" + hashlib.sha256(path.encode()).hexdigest()[:24]
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+        self.spark, self.path = spark, path.rstrip("/")
+        self.name = "quillon_digests_" + hashlib.sha256(self.path.encode()).hexdigest()[:24]
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        found = self._read()
+        self.buckets, self.version = found or (buckets, 0)
+        if not found:
+            self._write()
+        self._declare()
+
+    def _note(self) -> str:
+        return f"{self.path}/_index"
+
+    def _read(self) -> tuple[int, int] | None:
+        """(buckets, version), the newest that is whole; versions are directories, and a note is written once its directory is."""
+        if not self._fs.exists(self._at(self._note())):
+            return None
+        notes = [s.getPath().getName() for s in self._fs.listStatus(self._at(self._note()))]
+        version, buckets = max(tuple(map(int, n.split("-"))) for n in notes)
+        return buckets, version
+
+    def _write(self) -> None:
+        self._fs.create(self._at(f"{self._note()}/{self.version}-{self.buckets}"), True).close()
+
+    def _place(self) -> str:
+        return f"{self.path}/v{self.version}"
+
+    def _declare(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(
+            f"CREATE TABLE {self.name} (digest BINARY, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self._place()}'"
         )
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def forget(self) -> None:
+        """Take the table out of the session's catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, digests: DataFrame, batch: str) -> None:
-        """Add digests that the index lacks; the files of one append are committed together."""
-        rows = digests.select("digest", F.lit(batch).alias("batch"))
-        new = rows.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        """Add digests that no other batch has; what the same batch added before isn't added again."""
+        own = self.table().where(F.col("batch") == batch).select("digest")
+        new = digests.select("digest", F.lit(batch).alias("batch")).join(own, "digest", "left_anti")
         new = materialize(new, "digests")  # a table can't be read and appended to in one plan
+        self._save(new, self._place(), "append")
+        if self._files() >= COMPACT * self.buckets:
+            self.compact()
+
+    def _save(self, rows: DataFrame, path: str, mode: str) -> None:
         (
-            new.repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", self.path)
+            rows.repartition(self.buckets, "digest").write.mode(mode).format("parquet").option("path", path)
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
 
+    def _files(self) -> int:
+        return self._fs.getContentSummary(self._at(self._place())).getFileCount()
+
+    def compact(self) -> None:
+        """Write the index anew, a sorted file a bucket. The old files go once the new ones are noted; a failure before leaves the old ones in use."""
+        old, rows = self._place(), self.spark.read.schema("digest binary, batch string").parquet(self._place())
+        self.version += 1
+        self._fs.delete(self._at(self._place()), True)  # left over from a compaction that failed
+        self._declare()
+        self._save(rows, self._place(), "append")
+        self._write()
+        self._fs.delete(self._at(old), True)
+
 
 def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None, carry: list[str] | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose text neither the index nor an earlier row has; the index then has them too.
@@ -82,7 +139,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None, c
 
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all documents with a new index: (doc_id, digest) of each document that stays."""
-    return deduplicate(documents(spark, sf_dir), DigestIndex(spark, scratch_path(spark, "index")), carry=["doc_id"])
+    index = DigestIndex(spark, scratch_path(spark, "index"))
+    out = deduplicate(documents(spark, sf_dir), index, carry=["doc_id"])
+    index.forget()
+    return out
 
 
 SQL = "SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"
