@@ -13,9 +13,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.common import documents, fresh, materialize, row_key, unit_interval
 
@@ -24,6 +25,10 @@ TEMPERATURE = 0.7
 #: The distribution is tabulated up to where this much probability is left above.
 TAIL = 1e-13
 BROADCAST_SOURCES = 100_000
+#: Bytes of input, as the plan estimates them, for each partition of the output; there are spark.sql.shuffle.partitions at least.
+PARTITION_BYTES = 128 << 20
+#: An estimate may be far too large (a join's, for one); this many partitions hold 100 TB.
+MAX_PARTITIONS = 1_000_000
 
 
 def poisson_cdf(mean: float) -> list[float]:
@@ -43,14 +48,18 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
     ``weights``: target shares by source, in any scale; sources that they don't
     name get none. Without it a source of n documents weighs n ** temperature.
-    ``total`` is the size aimed at, by default that of the input.
+    ``total`` is the size aimed at, by default that of the input. A negative
+    or infinite weight or total raises ValueError. The source may be of any type that
+    casts to a string; ``weights`` names it by that string.
     """
+    if any(not 0 <= float(w) < math.inf for w in [*(weights or {}).values(), total or 0]):
+        raise ValueError("weights and total must be finite and not negative")
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
     else:
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else F.lit(None).cast("map<string,double>")
-        weight = F.coalesce(F.element_at(named, F.col("source")), F.lit(0.0))
+        weight = F.coalesce(F.try_element_at(named, F.col("source").cast("string")), F.lit(0.0))
     # One row of totals, joined without a shuffle of the sizes.
     sized = sizes.withColumn("w", weight)
     totals = sized.agg(F.sum("w").alias("all_w"), F.sum("n").cast("double").alias("all_n"))
@@ -58,11 +67,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * aim / F.col("n")).otherwise(0.0)
     rated = sized.crossJoin(totals).select("source", "n", rate.alias("rate"))
 
-    def tabulate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(cdf=[poisson_cdf(x) for x in frame["rate"]])
+    def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = pa.array([poisson_cdf(x) for x in b.column("rate").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, held], names=[*b.schema.names, "cdf"])
 
-    return rated.mapInPandas(tabulate, "source string, n long, rate double, cdf array<double>")
+    cdf = T.StructField("cdf", T.ArrayType(T.DoubleType()))
+    return rated.mapInArrow(tabulate, T.StructType([*rated.schema.fields, cdf]))
 
 
 def replicate(docs: DataFrame, rated: DataFrame, seed: int = SEED, ident: str = "doc_id", text: str = "text", source: str = "source", number: str | None = None) -> DataFrame:
@@ -82,7 +93,8 @@ def replicate(docs: DataFrame, rated: DataFrame, seed: int = SEED, ident: str =
     count = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
     copies = drawn.withColumn(copy, F.explode(F.when(count > 0, F.sequence(F.lit(1), count)))).drop(cdf, src, u)
     placed = copies.withColumn(place, F.xxhash64(F.lit(seed), F.col(key), F.col(copy))).drop(key)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))
     mixed = placed.repartition(parts, place).sortWithinPartitions(place)
     return mixed.select(*docs.columns, *([F.col(copy).alias(number)] if number else []))
 
