@@ -5,12 +5,13 @@ sketch. Inverted lists of sketch values give pairs that overlap, the sketch of
 the pair's union estimates their Jaccard similarity and filters, and exact
 shingle sets verify. Verified pairs link documents into groups.
 
-What could grow with the square of the corpus doesn't: a pair that passes the
-filter shares at least a known share of its sketches, so it must meet within
-the rarest values of each, and passages that many documents share are no
-meeting place; and the members of a list are first held against one hub, after
-which only members of different groups are paired. Both are exact: no pair
-that the filter would pass is left out of the grouping.
+A pair that passes the filter shares at least a known share of its sketches, so
+it must meet within the rarest values of each: passages that many documents
+share are no meeting place. The members of a list are first held against one
+hub, after which only members of different groups are paired, so groups of
+copies give no more pairs than members. Both are exact: no pair that the filter
+would pass is left out of the grouping. What is still compared pair by pair are
+documents of different groups that share one of their rarest values.
 """
 
 from __future__ import annotations
@@ -73,7 +74,9 @@ def meeting_places(sketches: DataFrame) -> DataFrame:
     s - c + 1. Values that one document holds are in no pair and aren't kept.
     """
     rows = sketches.select("node", F.size("v").alias("s"), F.explode("v").alias("value"))
-    held = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value"))).where(F.col("df") > 1)
+    # Counted and joined rather than by a window, so that no task holds all rows of a value.
+    shared_values = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    held = rows.join(shared_values, "value")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))
     shared = F.count(F.lit(1)).over(Window.partitionBy("node"))
     need = F.ceil(F.col("s") * F.lit(FILTER) - F.lit(1e-9))
