@@ -3,7 +3,8 @@
 Vectors are spread over shards by hash. Each shard builds a hierarchical
 navigable small-world graph, kept as flat arrays: vectors, levels, and the
 neighbours of each node at each level. Every block of queries searches every
-shard, and the shards' results are merged. Graphs are built and searched for
+shard, streaming past a graph that is loaded once, and the shards' results are
+merged. Graphs are built and searched for
 many vectors in step, so that numpy does the work.
 """
 
@@ -12,11 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import fresh, materialize
@@ -26,10 +28,12 @@ M = 16
 EF_BUILD = 80
 EF_SEARCH = 64
 #: Vectors in a shard, at most and at least: a shard's graph is held by one task, and every query visits every shard.
-SHARD_MAX, SHARD_MIN = 262_144, 8_192
+SHARD_MAX, SHARD_MIN = 262_144, 512
 #: Shards are made smaller than SHARD_MAX while there are fewer than this many.
 SHARDS = 8
 QUERY_BLOCK = 2_048
+#: Query blocks that one task searches a shard for: a graph is sent once for so many.
+CHUNK = 64
 STEP = 384
 #: Similarities between candidates for back links that are held at a time, about; it sets how many nodes are done together.
 BACK_PAIRS = 10_000_000
@@ -45,6 +49,16 @@ class Graph:
     links: list[np.ndarray] = field(default_factory=list)
     entry: int = -1
 
+    @cached_property
+    def tables(self) -> list[np.ndarray]:
+        """The neighbours by level with a row for every node of the shard."""
+        out = []
+        for nodes, links in zip(self.nodes, self.links):
+            table = np.full((len(self.vectors), links.shape[1]), -1, dtype=np.int64)
+            table[nodes] = links
+            out.append(table)
+        return out
+
 
 def _closest(ids: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row, best first."""
@@ -196,9 +210,7 @@ def search(graph: Graph, queries: np.ndarray, k: int, ef: int = EF_SEARCH) -> tu
     start = np.full((len(queries), 1), graph.entry, dtype=np.int64)
     near = np.zeros((len(queries), 1), dtype=np.float32)
     for lv in range(len(graph.nodes) - 1, -1, -1):
-        table = np.full((n, graph.links[lv].shape[1]), -1, dtype=np.int64)
-        table[graph.nodes[lv]] = graph.links[lv]
-        start, near = search_level(graph.vectors, table, queries, start, max(k, ef) if lv == 0 else 8)
+        start, near = search_level(graph.vectors, graph.tables[lv], queries, start, max(k, ef) if lv == 0 else 8)
     return start[:, :k], near[:, :k]
 
 
@@ -226,11 +238,12 @@ def load(ids: bytes, vectors: bytes, entry: int, nodes: list[bytes], links: list
     return Graph(np.frombuffer(vectors, dtype="<f4").reshape(-1, size), np.frombuffer(ids, dtype="<i8"), at, to, entry)
 
 
-def nearest(rows: DataFrame, k: int = NEIGHBOURS, ident: str = "vec_id", vector: str = "embedding", shards: int | None = None) -> DataFrame:
-    """(vec_id, neighbour_id, rank, similarity): the k rows nearest to each row by cosine, itself left out.
+def nearest(rows: DataFrame, k: int = NEIGHBOURS, ident: str = "vec_id", vector: str = "embedding", shards: int | None = None, ask: Column | None = None) -> DataFrame:
+    """(vec_id, neighbour_id, rank, similarity): the k rows nearest to each query row by cosine, itself left out.
 
     Approximate: recall against brute force is 0.9 or more on the test data.
-    Every row is a query. Rows with the same id or vector are rows of their
+    Every row is in the index; those that the condition ``ask`` holds for are
+    queries, by default all. Rows with the same id or vector are rows of their
     own, and neighbours of one another. A zero vector has similarity 0 to all.
     A row whose vector is NULL, empty, or has a NULL, NaN or infinite element
     or another length than the first in the order of length is neither query
@@ -242,7 +255,7 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS, ident: str = "vec_id", vector:
     usable = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
     unit = F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
-    held = materialize(usable.select(F.col(ident).alias("_id"), unit.alias("_v"), F.monotonically_increasing_id().alias("_row")), "vectors")
+    held = materialize(usable.select(F.col(ident).alias("_id"), unit.alias("_v"), F.monotonically_increasing_id().alias("_row"), F.coalesce(F.lit(True) if ask is None else ask, F.lit(False)).alias("_ask")), "vectors")
     kind = dict(held.dtypes)["_id"]
     common = held.groupBy(F.size("_v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
     empty = rows.sparkSession.createDataFrame([], f"vec_id {kind}, neighbour_id {kind}, rank int, similarity double")
@@ -253,28 +266,37 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS, ident: str = "vec_id", vector:
     held = held.where(F.size("_v") == size)
     sharded = held.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int"))
     graphs = materialize(shard_graphs(sharded, size), "graphs")
-    blocks = -(-total // QUERY_BLOCK)
-    queries = held.withColumn("block", F.pmod(F.xxhash64("_row", F.lit(7)), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list("_row").alias("rows"), F.collect_list("_v").alias("vs"))
+    asked = held.where("_ask")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    queries = asked.withColumn("block", F.pmod(F.xxhash64("_row", F.lit(7)), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list("_row").alias("rows"), F.collect_list("_v").alias("vs"))
     queries = materialize(queries, "queries")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = None
         for frame in frames:
             for r in frame.itertuples():
-                graph = load(r.ids, r.vectors, r.entry, r.nodes, r.links, size)
-                asked = np.asarray(r.rows, dtype=np.int64)
-                vs = _matrix(r.vs, size)
-                for a in range(0, len(asked), STEP):
-                    own = asked[a : a + STEP]
+                if r.block < 0:
+                    graph = load(r.ids, r.vectors, r.entry, r.nodes, r.links, size)
+                    continue
+                own_rows, vs = np.asarray(r.rows, dtype=np.int64), _matrix(r.vs, size)
+                for a in range(0, len(own_rows), STEP):
+                    own = own_rows[a : a + STEP]
                     found, near = search(graph, vs[a : a + STEP], k + 1)
                     names = graph.ids[np.maximum(found, 0)]
                     ok = (near > -np.inf) & (names != own[:, None])
                     at, _ = np.nonzero(ok)
                     yield pd.DataFrame({"q": own[at], "r": names[ok], "s": near[ok].astype(np.float64)})
 
-    # A task for each pair of a range of blocks and a shard; both sides are shuffled once, and only read again.
-    spread = queries.repartitionByRange(min(blocks, 1024), "block")
-    pairs = spread.crossJoin(graphs.repartitionByRange(shards, "shard").hint("shuffle_replicate_nl"))
-    best = pairs.mapInPandas(run, "q long, r long, s double")
+    # To each pair of a shard and a chunk of blocks goes the graph, once, and the blocks stream past it.
+    none = lambda names: [F.lit(None).cast(t).alias(n) for n, t in names]
+    chunks = -(-blocks // CHUNK)
+    first = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("shard", "chunk", F.lit(-1).alias("block"), "ids", "vectors", "entry", "nodes", "links", *none([("rows", "array<bigint>"), ("vs", "array<array<float>>")]))
+    then = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("chunk", (F.col("block") / CHUNK).cast("int"))
+    then = then.select("shard", "chunk", "block", *none([("ids", "binary"), ("vectors", "binary"), ("entry", "int"), ("nodes", "array<binary>"), ("links", "array<binary>")]), "rows", "vs")
+    # Shards that hold no vector have no graph.
+    then = then.join(F.broadcast(graphs.select("shard")), "shard", "left_semi")
+    tasks = first.unionByName(then).repartition(min(shards * chunks, 100_000), "shard", "chunk").sortWithinPartitions("shard", "chunk", "block")
+    best = tasks.mapInPandas(run, "q long, r long, s double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "r"))
     ranked = best.withColumn("rank", rank).where(F.col("rank") <= k)
     name = lambda c, to: held.select(F.col("_row").alias(c), F.col("_id").alias(to))
@@ -282,5 +304,5 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS, ident: str = "vec_id", vector:
 
 
 def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The NEIGHBOURS nearest of every embedding."""
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The NEIGHBOURS nearest of all embeddings to every one whose id is divisible by 20."""
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), ask=F.col("vec_id") % 20 == 0)
