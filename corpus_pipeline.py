@@ -45,7 +45,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, against a new digest index."""
-    return exact_dedup.deduplicate(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "index")))
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index"))
+    out = exact_dedup.deduplicate(docs, index)
+    index.forget()
+    return out
 
 
 @stage
