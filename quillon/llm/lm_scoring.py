@@ -1,12 +1,14 @@
 """Language-model scores by stupid backoff, every document against the rest of the corpus.
 
 Count tables of n-grams are partitioned by hash and joined to the n-grams of
-the documents. One row for each n-gram occurrence would shuffle several times
-the size of the corpus, so documents are taken in blocks: a block sends each
-n-gram that it has once, with its count, packed by hash partition; the
-partition adds the counts up and joins the totals back to the blocks that sent
-them; the block sums its documents. Counts are of the whole corpus, less the
-document's own occurrences, so that no text vouches for itself.
+the documents, whose scores are then summed per document. One row for each
+n-gram occurrence would shuffle several times the size of the corpus, so rows
+are packed: a block of documents sends each distinct n-gram that it has once,
+with a one-byte count, to the partition of its hash; there the counts are
+added up and the totals joined back to the blocks that sent the n-gram, a byte
+each, mostly 0, as most n-grams occur in one block only. Counts are of the
+whole corpus, less the document's own occurrences, so that no text vouches for
+itself.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,21 +38,25 @@ BITS = 56
 MASK = np.uint64((1 << BITS) - 1)
 
 
-class Words(dict):
-    """Hash of each distinct word, computed once a block."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
+def split_words(texts: list[str | None] | pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words, how many each text has): what is between white space, as Python splits it; NULL has none."""
+    split = pc.utf8_split_whitespace((texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).fill_null(""))
+    sizes = np.asarray(split.value_lengths()).astype(np.int64)
+    flat = split.flatten()
+    there = np.asarray(pc.greater(pc.binary_length(flat), 0)).astype(bool) if len(flat) else np.empty(0, dtype=bool)
+    if there.all():
+        return flat, sizes
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return flat.filter(pa.array(there)), np.bincount(doc[there], minlength=len(sizes))
 
 
 def ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(document of each word, [hashes of the n-grams that end at it], [whether there is one]), by order from 1."""
-    seen = Words()
-    split = [(t or "").split() for t in texts]
-    sizes = np.array([len(w) for w in split], dtype=np.int64)
-    flat = np.fromiter((seen[w] for ws in split for w in ws), dtype=np.uint64, count=int(sizes.sum()))
-    doc = np.repeat(np.arange(len(split)), sizes)
+    words, sizes = split_words(texts)
+    coded = words.dictionary_encode()
+    own = [xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    flat = np.array(own, dtype=np.uint64)[np.asarray(coded.indices)] if own else np.empty(0, dtype=np.uint64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     hashes, there, grams = [flat & MASK], [np.ones(len(flat), dtype=bool)], flat
     for n in range(1, order):
@@ -64,17 +72,33 @@ def packed(values: np.ndarray) -> bytes:
     """Sorted distinct hashes as gaps in 5 bytes, or 8 where one is larger; the first byte says which."""
     gaps = np.diff(values, prepend=np.uint64(0))
     width = 5 if int(gaps.max(initial=0)) < 1 << 40 else 8
-    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    columns = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(columns.T).tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
     width = data[0]
-    raw = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(raw), 8), dtype=np.uint8)
-    full[:, :width] = raw
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(width, -1)
+    full = np.zeros((raw.shape[1], 8), dtype=np.uint8)
+    full[:, :width] = raw.T
     return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count; 255 stands for a larger one, which follows in 8 bytes behind them all."""
+    large = counts >= 255
+    head = np.where(large, 255, counts).astype(np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(counts)).tobytes() + head.tobytes() + counts[large].astype("<i8").tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+    out = np.frombuffer(raw, dtype=np.uint8, offset=8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[8 + n :], dtype="<i8")
+    return out
+
+
 def own_counts(doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each occurrence, how often its document has the same n-gram."""
     order = np.lexsort((ids, doc))
@@ -87,15 +111,15 @@ def own_counts(doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_scores(texts: list[str | None], totals: list[np.ndarray], corpus_words: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean log10 score, words) of each text; totals[n]: corpus counts of the block's sorted distinct n-grams."""
+def block_scores(texts: list[str | None], others: list[np.ndarray], corpus_words: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean log10 score, words) of each text; others[n]: counts in the other blocks of this block's sorted distinct n-grams."""
     doc, hashes, there = ngrams(texts, order)
     sizes = np.bincount(doc, minlength=len(texts))
     counts = []
     for n in range(order):
         held = np.zeros(len(doc), dtype=np.int64)
-        _, ids = np.unique(hashes[n][there[n]], return_inverse=True)
-        held[there[n]] = totals[n][ids] - own_counts(doc[there[n]], ids)
+        _, ids, here = np.unique(hashes[n][there[n]], return_inverse=True, return_counts=True)
+        held[there[n]] = (others[n] + here)[ids] - own_counts(doc[there[n]], ids)
         counts.append(held)
     rest = np.maximum(corpus_words - sizes[doc], 1)
     score = np.log10(np.maximum(counts[0], UNSEEN) / rest)
@@ -137,35 +161,29 @@ def score_documents(docs: DataFrame, order: int = ORDER, ident: str = "doc_id",
             part = np.searchsorted(edges[1:-1], values, side="right")
             starts = np.flatnonzero(np.diff(part, prepend=-1))
             for a, b in zip(starts, np.append(starts[1:], len(values))):
-                c = counts[a:b]
-                rows.append((n * parts + int(part[a]), key[0], packed(values[a:b]), c.astype("<i8" if c.max() >= 1 << 31 else "<i4").tobytes()))
+                rows.append((n * parts + int(part[a]), key[0], packed(values[a:b]), pack_counts(counts[a:b])))
         return pd.DataFrame(rows, columns=["part", "block", "grams", "counts"])
 
-    def numbers(data: bytes, size: int) -> np.ndarray:
-        return np.frombuffer(data, dtype="<i8" if size and len(data) == 8 * size else "<i4").astype(np.int64)
-
     def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         grams = [unpacked(g) for g in frame["grams"]]
-        sizes = [len(g) for g in grams]
-        own = [numbers(c, s) for c, s in zip(frame["counts"], sizes)]
+        own = np.concatenate([unpack_counts(c) for c in frame["counts"]])
         values, at = np.unique(np.concatenate(grams), return_inverse=True)
         sums = np.zeros(len(values), dtype=np.int64)
-        np.add.at(sums, at, np.concatenate(own))
-        wide = sums.max(initial=0) >= 1 << 31
-        back = np.split(sums[at].astype("<i8" if wide else "<i4"), np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"block": frame["block"], "part": key[0], "totals": [b.tobytes() for b in back], "wide": wide})
+        np.add.at(sums, at, own)
+        back = np.split(sums[at] - own, np.cumsum([len(g) for g in grams])[:-1])
+        return pd.DataFrame({"block": frame["block"], "part": key[0], "others": [pack_counts(b) for b in back]})
 
     def finish(key: tuple, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("part")
-        totals = []
+        others = []
         for n in range(order):
             mine = answers[answers["part"] // parts == n]
-            totals.append(np.concatenate([np.empty(0, dtype=np.int64), *[np.frombuffer(t, dtype="<i8" if w else "<i4") for t, w in zip(mine["totals"], mine["wide"])]]))
-        score, words = block_scores(frame["text"].tolist(), totals, int(corpus.value), order)
+            others.append(np.concatenate([np.empty(0, dtype=np.int64), *map(unpack_counts, mine["others"])]))
+        score, words = block_scores(frame["text"].tolist(), others, int(corpus.value), order)
         return pd.DataFrame({"doc_id": frame["doc_id"], "n_words": words, "score": np.where(words > 0, score, None)})
 
     sent = keyed.groupBy("block").applyInPandas(request, "part int, block int, grams binary, counts binary")
-    answered = sent.groupBy("part").applyInPandas(total, "block int, part int, totals binary, wide boolean")
+    answered = sent.groupBy("part").applyInPandas(total, "block int, part int, others binary")
     corpus = spark.sparkContext.broadcast(count_words(keyed))
     kind = dict(keyed.dtypes)["doc_id"]
     return keyed.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(finish, f"doc_id {kind}, n_words long, score double")
@@ -176,7 +194,7 @@ def count_words(docs: DataFrame) -> int:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.as_py().split()) for t in b.column(0) if t.is_valid)], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(split_words(b.column(0))[1].sum())], pa.int64())], names=["n"])
 
     return int(docs.select("text").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0)
 
