@@ -14,7 +14,7 @@ from quillon.sources.store import Store
 class Engine:
     """``index``/``index_frame`` collect documents, ``save`` writes them, ``restore`` makes them searchable."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.store = spark, Store(spark, path, buckets)
         self._rows: list[tuple[str, str]] = []
         self._frames: list[DataFrame] = []
@@ -62,7 +62,13 @@ class Engine:
         wanted = query_terms(query)
         if self._live is None or not wanted:
             return self.spark.createDataFrame([], "doc_id long")
-        return sx.search_and(self.store.lookup(wanted) if not self._live["postings"].is_cached else self._live["postings"], wanted)
+        if not self._live["postings"].is_cached:
+            return self.store.search(wanted)
+        known = self.store.frequencies(wanted)
+        if len(known) < len(wanted):
+            return self.spark.createDataFrame([], "doc_id long")
+        ordered = sorted(wanted, key=known.__getitem__)
+        return sx.search_ordered(self._live["postings"], ordered, known[ordered[0]])
 
     def search_frame(self, query: str) -> DataFrame:
         return sx.with_names(self.hits(query), self._tables()["docs"])
@@ -77,8 +83,7 @@ class Engine:
         if self._live is None or not wanted:
             return 0
         if len(wanted) == 1:
-            found = self._live["terms"].where(F.col("token") == wanted[0]).first()
-            return found.df if found else 0
+            return self.store.frequencies(wanted).get(wanted[0], 0)
         return self.hits(query).count()
 
     def run(self, commands: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIST_LIMIT = 39
+BLOCK_SIZE, MAX_LEVEL = 44, 10
+#: Bytes of a block that hold ids; the rest is its head.
+LIST_LIMIT = BLOCK_SIZE - 5
 _WIDTHS = ((127, 1), (8_191, 2), (262_143, 3), (4_194_303, 4))
 
 
@@ -22,10 +24,10 @@ def encoded_bytes(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.sum(varint_length(F.col("doc_id"))).cast("long").alias("bytes"))
 
 
-def tier(postings: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """(token, df, tier): 1 for a single id, 2 for a list that fits ``limit`` bytes, else 3."""
+def tier(postings: DataFrame, block_size: int = BLOCK_SIZE, max_level: int = MAX_LEVEL) -> DataFrame:
+    """(token, df, tier): 1 for a single id, 2 for a list that fits a block, else 3; without levels (0) every list is flat."""
     sized = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(varint_length(F.col("doc_id"))).alias("_bytes"))
-    kind = F.when(F.col("df") == 1, 1).when(F.col("_bytes") <= limit, 2).otherwise(3)
+    kind = F.when(F.col("df") == 1, 1).when((F.col("_bytes") <= block_size - 5) | F.lit(max_level == 0), 2).otherwise(3)
     return sized.select("token", "df", kind.cast("int").alias("tier"))
 
 

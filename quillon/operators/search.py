@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quillon.functions.text import distinct_tokens, query_terms
 
 
+#: Rows of ids or tokens up to which a join side is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 def search_and(postings: DataFrame, query: str | list[str]) -> DataFrame:
     """(doc_id) of the documents that hold every token of the query.
 
@@ -35,12 +39,32 @@ def search_semi(postings: DataFrame, ordered: list[str]) -> DataFrame:
     return out
 
 
+def frequencies(terms: DataFrame, tokens: list[str]) -> dict[str, int]:
+    """df of those of the tokens that occur."""
+    return {r.token: r.df for r in terms.where(F.col("token").isin(tokens)).collect()} if tokens else {}
+
+
 def rarest_first(terms: DataFrame, tokens: list[str]) -> list[str] | None:
     """The tokens by ascending df (ties in the given order); None if one is unknown."""
-    known = {r.token: r.df for r in terms.where(F.col("token").isin(tokens)).collect()} if tokens else {}
+    known = frequencies(terms, tokens)
     return sorted(tokens, key=known.__getitem__) if all(t in known for t in tokens) else None
 
 
+def search_ordered(postings: DataFrame, ordered: list[str], smallest: int) -> DataFrame:
+    """The same for tokens from the rarest on, whose df is ``smallest``.
+
+    Up to BROADCAST_ROWS ids the rarest list is broadcast and the others stream
+    past what is left of it, without a shuffle; beyond, lists are aggregated.
+    """
+    if len(ordered) < 2 or smallest > BROADCAST_ROWS:
+        return search_and(postings, ordered)
+    one = lambda token: postings.where(F.col("token") == token).select("doc_id")
+    out = one(ordered[0])
+    for token in ordered[1:]:
+        out = one(token).join(F.broadcast(out), "doc_id", "left_semi")
+    return out
+
+
 def with_names(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, name) in ascending doc_id; a name that occurs twice is returned twice."""
     return hits.join(docs, "doc_id").select("doc_id", "name").orderBy("doc_id")
@@ -59,7 +83,10 @@ def query_tokens(queries: DataFrame, key: str = "qid", text: str = "text") -> Da
 
 def batch_hits(queries: DataFrame, postings: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
     """(qid, doc_id) of all matches of all queries, in one plan."""
-    rows = query_tokens(queries, key, text).join(postings, "token")
+    asked = query_tokens(queries, key, text)
+    # The tokens of the queries, not the postings, are what is broadcast; beyond the limit both sides are shuffled.
+    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = postings.join(F.broadcast(asked) if small else asked.hint("merge"), "token")
     matched = rows.groupBy(key, "doc_id").agg(F.count(F.lit(1)).alias("_got"), F.first("n").alias("_n"))
     return matched.where(F.col("_got") == F.col("_n")).select(key, "doc_id")
 

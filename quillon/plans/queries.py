@@ -11,7 +11,9 @@ from quillon.functions.text import tokens, whitespace_tokens
 from quillon.operators import index as ix
 from quillon.operators import lists as ls
 from quillon.operators import search as sx
-from quillon.sources.corpus import from_table
+from quillon.sources.corpus import from_table, read_jsonl
+from quillon.sources.scratch import scratch_path
+from quillon.sources.store import Store
 
 MIDDLE = 500
 
@@ -34,6 +36,50 @@ def _post(table: str = "documents", key: str = "doc_id", text: str = "text") ->
 POST = "WITH " + _post()
 
 
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    """An index of the documents in two segments, the second appended; made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store = Store(spark, scratch_path(spark, "store"))
+        corpus = _documents(spark, sf_dir)
+        store.add(corpus.where(F.col("doc_id") < MIDDLE))
+        store.add(corpus.where(F.coalesce(F.col("doc_id") >= MIDDLE, F.lit(True))))
+        _stores[key] = store
+    return _stores[key]
+
+
+def _stored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored(spark, sf_dir)
+    return sx.with_names(store.search(["en", "the"]), store.docs())
+
+
+def _stored_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word's matches: alone from the term table, together from the lists."""
+    store = _stored(spark, sf_dir)
+    one = store.terms().where(F.col("token").isin("en", "the")).select(F.col("token").alias("query"), F.col("df").alias("hits"))
+    return one.unionByName(store.search(["en", "the"]).agg(F.count(F.lit(1)).alias("hits")).select(F.lit("en the").alias("query"), "hits"))
+
+
+def _stored_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term table of an index of four segments made one."""
+    store = Store(spark, scratch_path(spark, "compacted"))
+    corpus = _documents(spark, sf_dir)
+    for part in range(4):
+        store.add(corpus.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == part))
+    store.compact()
+    return store.terms()
+
+
+def _jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as JSON lines and read as a corpus: the tokens of each name."""
+    path = scratch_path(spark, "jsonl")
+    _documents(spark, sf_dir).select(F.col("name").alias("id"), "text").write.json(path)
+    return read_jsonl(spark, path).select("name", F.size(tokens("text")).cast("long").alias("n"))
+
+
 def _on_postings(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(_postings(spark, sf_dir))
 
@@ -145,6 +191,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_and": _batch_and,
     "batch_hits": _batch_hits,
     "commands": _commands,
+    "stored_postings": lambda spark, sf_dir: _stored(spark, sf_dir).postings().select("token", "doc_id"),
+    "stored_term_df": lambda spark, sf_dir: _stored(spark, sf_dir).terms(),
+    "stored_catalog": lambda spark, sf_dir: _stored(spark, sf_dir).docs(),
+    "stored_get_term": lambda spark, sf_dir: _stored(spark, sf_dir).lookup(["the"]).select("doc_id"),
+    "stored_search_names": _stored_names,
+    "stored_count": _stored_count,
+    "stored_commands": lambda spark, sf_dir: sx.run_commands(spark.createDataFrame(COMMANDS, "id long, cmd string, query string"), _stored(spark, sf_dir).postings()),
+    "stored_compacted": _stored_compacted,
+    "jsonl_source": _jsonl,
     "posting_tier": _on_postings(ls.tier),
     "varint_bytes": _on_postings(_encoded),
     "seek_ge": _on_postings(lambda p: ls.seek(p, MIDDLE)),
@@ -161,7 +216,7 @@ _TEXT = "string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)"
 _VARINT = "CASE WHEN doc_id <= 127 THEN 1 WHEN doc_id <= 8191 THEN 2 WHEN doc_id <= 262143 THEN 3 WHEN doc_id <= 4194303 THEN 4 ELSE 5 END"
 _DF = "SELECT token, count(*) AS df FROM post GROUP BY token"
 _ITEMS = (
-    "q AS (SELECT item_id AS qid, unnest(list_distinct(t[1:3])) AS token, len(list_distinct(t[1:3])) AS n FROM (SELECT item_id, "
+    "q AS (SELECT item_id AS qid, unnest(list_distinct(t)) AS token, len(list_distinct(t)) AS n FROM (SELECT item_id, "
     "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS t FROM benchmark)), "
     "h AS (SELECT qid, doc_id FROM q JOIN post USING (token) GROUP BY qid, doc_id HAVING count(*) = min(n))"
 )
@@ -210,3 +265,15 @@ ORACLES: dict[str, str] = {
     "merge_runs": f"{POST} SELECT token, {_TEXT} AS ids FROM post GROUP BY token",
     "array_intersect": f"WITH {_post()}, h AS ({_HAS.format(chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'the' + chr(39), 2)}) SELECT {_TEXT} AS ids FROM h",
 }
+
+ORACLES |= {
+    "stored_postings": ORACLES["postings"],
+    "stored_term_df": ORACLES["term_df"],
+    "stored_catalog": ORACLES["catalog"],
+    "stored_get_term": ORACLES["get_term"],
+    "stored_search_names": ORACLES["search_names"],
+    "stored_count": f"{POST} SELECT token AS query, count(*) AS hits FROM post WHERE token IN ('en', 'the') GROUP BY token UNION ALL SELECT 'en the', count(*) FROM ({_HAS.format(chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'the' + chr(39), 2)})",
+    "stored_commands": ORACLES["commands"],
+    "stored_compacted": ORACLES["term_df"],
+    "jsonl_source": "SELECT concat('doc', doc_id) AS name, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n FROM documents",
+}

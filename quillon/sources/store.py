@@ -3,7 +3,9 @@
 ``<dir>/seg-00000/{docs,terms,postings}``: a segment counts only once its
 marker file exists, so a failed save leaves the index as it was. Postings are
 partitioned by token bucket and sorted by (token, doc_id): a lookup reads one
-directory and skips row groups by their statistics.
+directory and skips row groups by their statistics. How many buckets there are
+is stored with the index. Many small segments, which streaming leaves behind,
+are made one by :meth:`Store.compact`.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import index as ix
+from quillon.operators import search as sx
 
-MARKER = "_LIVE"
+MARKER, UPTO, COUNT = "_LIVE", "_UPTO-", "_BUCKETS-"
+#: Bytes of corpus, as the plan estimates them, for each bucket and each task of a new index.
+BUCKET_BYTES, TASK_BYTES = 1 << 30, 64 << 20
 EMPTY = {"docs": "doc_id long, name string", "terms": "token string, df long", "postings": "token string, doc_id long, bucket int"}
 
 
@@ -24,10 +29,26 @@ def bucket_of(token: Column, buckets: int) -> Column:
 class Store:
     """Segments in a directory of any Hadoop file system."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """``buckets`` is for an index that doesn't exist yet; by default its first corpus decides."""
+        self.spark, self.path, self._wanted = spark, path.rstrip("/"), buckets
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
 
+    @property
+    def buckets(self) -> int | None:
+        """The stored count; None before the first segment."""
+        fs, root = self._fs(), self._hadoop(self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return next((int(n[len(COUNT) :]) for n in names if n.startswith(COUNT)), None)
+
+    def _settle(self, corpus: DataFrame) -> int:
+        found = self.buckets
+        if found is None:
+            size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            found = self._wanted or min(4096, max(8, size // BUCKET_BYTES))
+            self._fs().create(self._hadoop(f"{self.path}/{COUNT}{found}")).close()
+        return found
+
     def _fs(self):
         return self._hadoop(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
@@ -36,22 +57,43 @@ class Store:
         if not fs.exists(root):
             return []
         found = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(n for n in found if n.startswith("seg-") and fs.exists(self._hadoop(f"{self.path}/{n}/{MARKER}")))
+        live = sorted(n for n in found if n.startswith("seg-") and fs.exists(self._hadoop(f"{self.path}/{n}/{MARKER}")))
+        notes = [s.getPath().getName() for n in live for s in fs.listStatus(self._hadoop(f"{self.path}/{n}"))]
+        gone = max((int(n[len(UPTO) :]) for n in notes if n.startswith(UPTO)), default=-1)
+        return [n for n in live if int(n[4:]) > gone]
 
     def add(self, corpus: DataFrame) -> str:
         """Write the corpus (doc_id, name, text) as a new segment; doc_id must be new."""
+        return self._write(ix.docs(corpus), ix.postings(corpus), self._settle(corpus), corpus)
+
+    def compact(self) -> None:
+        """Make all segments one. Readers see the old ones until the new one is whole; then they are deleted."""
+        old = self.segments()
+        if len(old) < 2:
+            return
+        held = self.postings().select("token", "doc_id")
+        self._write(self.docs(), held, self.buckets, held, upto=int(old[-1][4:]))
+        for name in old:
+            self._fs().delete(self._hadoop(f"{self.path}/{name}"), True)
+
+    def _write(self, docs: DataFrame, postings: DataFrame, buckets: int, sized: DataFrame, upto: int | None = None) -> str:
         number = int(s[-1][4:]) + 1 if (s := self.segments()) else 0
         segment = f"{self.path}/seg-{number:05d}"
         fs = self._fs()
         fs.delete(self._hadoop(segment), True)  # left over from a save that failed
-        ix.docs(corpus).write.parquet(f"{segment}/docs")
-        postings = ix.postings(corpus).withColumn("bucket", bucket_of(F.col("token"), self.buckets))
+        docs.write.parquet(f"{segment}/docs")
+        size = int(str(sized._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        tasks = max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(size // TASK_BYTES, 1_000_000))
+        # Ranges of (bucket, token, doc_id): a common word's list is split over tasks and files.
         (
-            postings.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "token", "doc_id")
+            postings.withColumn("bucket", bucket_of(F.col("token"), buckets))
+            .repartitionByRange(tasks, "bucket", "token", "doc_id").sortWithinPartitions("bucket", "token", "doc_id")
             .write.partitionBy("bucket").parquet(f"{segment}/postings")
         )
         written = self._read([f"{segment}/postings"], "postings")
-        ix.terms(written).repartition(self.buckets, "token").sortWithinPartitions("token").write.parquet(f"{segment}/terms")
+        ix.terms(written).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{segment}/terms")
+        if upto is not None:
+            fs.create(self._hadoop(f"{segment}/{UPTO}{upto:05d}")).close()
         fs.create(self._hadoop(f"{segment}/{MARKER}")).close()
         return segment
 
@@ -77,12 +119,27 @@ class Store:
         """Document frequencies over all segments."""
         return self.table("terms").groupBy("token").agg(F.sum("df").alias("df"))
 
+    def frequencies(self, tokens: list[str]) -> dict[str, int]:
+        """df of those of the tokens that occur; the filter is pushed to the sorted term tables."""
+        rows = self.table("terms").where(F.col("token").isin(tokens)).groupBy("token").agg(F.sum("df").alias("df"))
+        return {r.token: r.df for r in rows.collect()} if tokens else {}
+
+    def search(self, tokens: list[str]) -> DataFrame:
+        """(doc_id) of the documents with every token: rarest list first, and none read if a token doesn't occur."""
+        known = self.frequencies(tokens)
+        if not tokens or len(known) < len(set(tokens)):
+            return self.spark.createDataFrame([], "doc_id long")
+        ordered = sorted(dict.fromkeys(tokens), key=known.__getitem__)
+        return sx.search_ordered(self.lookup(ordered), ordered, known[ordered[0]])
+
     def next_id(self) -> int:
         top = self.docs().agg(F.max("doc_id")).first()[0]
         return 0 if top is None else top + 1
 
     def lookup(self, tokens: list[str]) -> DataFrame:
         """Postings of the given tokens, with partition pruning and a pushed-down filter."""
-        wanted = [bucket_of(F.lit(t), self.buckets) for t in tokens]
         rows = self.postings()
+        if not (buckets := self.buckets):
+            return rows.select("token", "doc_id").where(F.lit(False))
+        wanted = [bucket_of(F.lit(t), buckets) for t in tokens]
         return rows.where(F.col("bucket").isin(wanted) & F.col("token").isin(tokens)).select("token", "doc_id")
