@@ -143,4 +143,4 @@ def test_commands_broadcast_the_queries(spark, tmp_path):
     rows = spark.range(1000).select(F.concat(F.lit("t"), F.col("id") % 3).alias("token"), F.col("id").alias("doc_id"))
     asked = spark.createDataFrame([(0, "COUNT", "t1")], "id long, cmd string, query string")
     plan = _plan(sx.batch_hits(asked.select("id", "query"), rows, "id", "query"))
-    assert "BroadcastHashJoin" in plan and "BuildLeft" in plan
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "SortMergeJoin" not in plan
