@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/quillon/{uuid.uuid4().hex}-{name}"
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that a plan reads, as far as they are known; rows from the driver or an RDD count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 60)

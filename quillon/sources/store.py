@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from quillon.operators import index as ix
 from quillon.operators import search as sx
+from quillon.sources.scratch import input_bytes
 
 MARKER, UPTO, COUNT = "_LIVE", "_UPTO-", "_BUCKETS-"
-#: Bytes of corpus, as the plan estimates them, for each bucket and each task of a new index.
+#: Bytes of input for each bucket and each task of a new index.
 BUCKET_BYTES, TASK_BYTES = 1 << 30, 64 << 20
 EMPTY = {"docs": "doc_id long, name string", "terms": "token string, df long", "postings": "token string, doc_id long, bucket int"}
 
@@ -44,8 +45,7 @@ class Store:
     def _settle(self, corpus: DataFrame) -> int:
         found = self.buckets
         if found is None:
-            size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            found = self._wanted or min(4096, max(8, size // BUCKET_BYTES))
+            found = self._wanted or min(4096, max(8, input_bytes(corpus) // BUCKET_BYTES))
             self._fs().create(self._hadoop(f"{self.path}/{COUNT}{found}")).close()
         return found
 
@@ -82,8 +82,7 @@ class Store:
         fs = self._fs()
         fs.delete(self._hadoop(segment), True)  # left over from a save that failed
         docs.write.parquet(f"{segment}/docs")
-        size = int(str(sized._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        tasks = max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(size // TASK_BYTES, 1_000_000))
+        tasks = max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(sized) // TASK_BYTES)
         # Ranges of (bucket, token, doc_id): a common word's list is split over tasks and files.
         (
             postings.withColumn("bucket", bucket_of(F.col("token"), buckets))
