@@ -19,16 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import documents, fresh, materialize, row_key, unit_interval
+from quillon.sources.scratch import input_bytes
 
 SEED = 17
 TEMPERATURE = 0.7
 #: The distribution is tabulated up to where this much probability is left above.
 TAIL = 1e-13
 BROADCAST_SOURCES = 100_000
-#: Bytes of input, as the plan estimates them, for each partition of the output; there are spark.sql.shuffle.partitions at least.
+#: Bytes of input for each partition of the output; there are spark.sql.shuffle.partitions at least.
 PARTITION_BYTES = 128 << 20
-#: An estimate may be far too large (a join's, for one); this many partitions hold 100 TB.
-MAX_PARTITIONS = 1_000_000
 
 
 def poisson_cdf(mean: float) -> list[float]:
@@ -93,8 +92,7 @@ def replicate(docs: DataFrame, rated: DataFrame, seed: int = SEED, ident: str =
     count = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
     copies = drawn.withColumn(copy, F.explode(F.when(count > 0, F.sequence(F.lit(1), count)))).drop(cdf, src, u)
     placed = copies.withColumn(place, F.xxhash64(F.lit(seed), F.col(key), F.col(copy))).drop(key)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PARTITION_BYTES), MAX_PARTITIONS))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // PARTITION_BYTES))
     mixed = placed.repartition(parts, place).sortWithinPartitions(place)
     return mixed.select(*docs.columns, *([F.col(copy).alias(number)] if number else []))
 
