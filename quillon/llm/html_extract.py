@@ -26,6 +26,8 @@ INPUT = PATH + WORD + STAT
 HIDDEN = 20
 MAX_PAGES = 600
 EPOCHS, BATCH, RATE = 6, 32, 0.01
+#: Few pages are gone through more often, until so many batches were learnt from.
+LEAST_STEPS = 120
 HIDE = 0.7
 #: Names of the path weigh this much less with each step up from the block.
 FADE = 0.8
@@ -270,7 +272,7 @@ def train(pages: list[str], seed: int = 5) -> Labeller:
     shown = [vectors(b) for b in held]
     blind = [vectors(b, blind=True) for b in held]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(held)))) if held else 0):
         order = rng.permutation(len(held))
         for at in range(0, len(order), BATCH):
             own = sorted(order[at : at + BATCH], key=lambda i: len(held[i]))
