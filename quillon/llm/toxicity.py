@@ -114,11 +114,17 @@ def contrasts(own: list[bytes], other: list[bytes]) -> dict[int, np.ndarray]:
     """By length, the runs of bytes that LEAST of the own texts have and that are RATIO times as frequent there as in the others."""
     out = {}
     for n in GRAMS:
-        count = lambda texts: np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *[np.unique(gram_hashes(t, n)) for t in texts]]), return_counts=True)
-        (held, c), (elsewhere, d) = count(own), count(other)
-        at = np.minimum(np.searchsorted(elsewhere, held), max(0, len(elsewhere) - 1))
-        found = np.where(elsewhere[at] == held, d[at], 0) if len(elsewhere) else np.zeros(len(held))
-        out[n] = held[(c >= LEAST) & (held != 0) & (c / max(1, len(own)) >= RATIO * (found + 0.5) / max(1, len(other)))]
+        grams = lambda text: np.unique(gram_hashes(text, n))  # noqa: E731, B023
+        held, c = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *map(grams, own)]), return_counts=True)
+        keep = (c >= LEAST) & (held != 0)
+        held, c = held[keep], c[keep]
+        # Of the other texts only what the own ones have is kept, text by text.
+        found = np.zeros(len(held), dtype=np.int64)
+        for text in other if len(held) else []:
+            g = grams(text)
+            at = np.minimum(np.searchsorted(g, held), max(0, len(g) - 1))
+            found += g[at] == held if len(g) else 0
+        out[n] = held[c / max(1, len(own)) >= RATIO * (found + 0.5) / max(1, len(other))]
     return out
 
 
