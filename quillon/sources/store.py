@@ -2,10 +2,10 @@
 
 ``<dir>/seg-00000/{docs,terms,postings}``: a segment counts only once its
 marker file exists, so a failed save leaves the index as it was. Postings are
-partitioned by token bucket and sorted by (token, doc_id): a lookup reads one
-directory and skips row groups by their statistics. How many buckets there are
-is stored with the index. Many small segments, which streaming leaves behind,
-are made one by :meth:`Store.compact`.
+partitioned by token bucket, and each file is sorted by (token, doc_id): a
+lookup reads one directory and skips pages by their statistics. How many
+buckets there are is stored with the index. Many small segments, which
+streaming leaves behind, are made one by :meth:`Store.compact`.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators import chunks as ch
 from quillon.operators import index as ix
 from quillon.operators import search as sx
 from quillon.sources.scratch import input_bytes
@@ -27,6 +28,23 @@ def bucket_of(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def placed(chunked: DataFrame, buckets: int, tasks: int) -> DataFrame:
+    """(token, doc_id, bucket) of chunks, in sorted partitions of one bucket each.
+
+    A task is chosen by hash, so chunks are made once: ranges would need a
+    sample, for which all texts would be cut into words once more. A common
+    word's list is split over the tasks of its bucket by slice.
+    """
+    each = -(-tasks // buckets)
+    bucket = bucket_of(F.col("token"), buckets)
+    # The 32-bit hash here, as the bucket is taken from the 64-bit one.
+    part = (bucket * each + F.pmod(F.hash("token", "slice"), F.lit(each))).cast("int").alias("_part")
+    rows = chunked.select("token", "slice", "ids", bucket.alias("bucket"), part).repartitionById(buckets * each, "_part")
+    # Chunks in order, that the sort of their ids finds long runs: sorting those takes little more than reading them.
+    ordered = rows.withColumn("_first", F.get("ids", F.lit(0))).sortWithinPartitions("bucket", "token", "slice", "_first")
+    return ordered.select("token", F.explode("ids").alias("doc_id"), "bucket").sortWithinPartitions("bucket", "token", "doc_id")
+
+
 class Store:
     """Segments in a directory of any Hadoop file system."""
 
@@ -64,7 +82,7 @@ class Store:
 
     def add(self, corpus: DataFrame) -> str:
         """Write the corpus (doc_id, name, text) as a new segment; doc_id must be new."""
-        return self._write(ix.docs(corpus), ix.postings(corpus), self._settle(corpus), corpus)
+        return self._write(ix.docs(corpus), ch.gathered(corpus), self._settle(corpus), corpus)
 
     def compact(self) -> None:
         """Make all segments one. Readers see the old ones until the new one is whole; then they are deleted."""
@@ -72,23 +90,18 @@ class Store:
         if len(old) < 2:
             return
         held = self.postings().select("token", "doc_id")
-        self._write(self.docs(), held, self.buckets, held, upto=int(old[-1][4:]))
+        self._write(self.docs(), ch.runs(held), self.buckets, held, upto=int(old[-1][4:]))
         for name in old:
             self._fs().delete(self._hadoop(f"{self.path}/{name}"), True)
 
-    def _write(self, docs: DataFrame, postings: DataFrame, buckets: int, sized: DataFrame, upto: int | None = None) -> str:
+    def _write(self, docs: DataFrame, chunked: DataFrame, buckets: int, sized: DataFrame, upto: int | None = None) -> str:
         number = int(s[-1][4:]) + 1 if (s := self.segments()) else 0
         segment = f"{self.path}/seg-{number:05d}"
         fs = self._fs()
         fs.delete(self._hadoop(segment), True)  # left over from a save that failed
         docs.write.parquet(f"{segment}/docs")
         tasks = max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(sized) // TASK_BYTES)
-        # Ranges of (bucket, token, doc_id): a common word's list is split over tasks and files.
-        (
-            postings.withColumn("bucket", bucket_of(F.col("token"), buckets))
-            .repartitionByRange(tasks, "bucket", "token", "doc_id").sortWithinPartitions("bucket", "token", "doc_id")
-            .write.partitionBy("bucket").parquet(f"{segment}/postings")
-        )
+        placed(chunked, buckets, tasks).write.partitionBy("bucket").parquet(f"{segment}/postings")
         written = self._read([f"{segment}/postings"], "postings")
         ix.terms(written).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{segment}/terms")
         if upto is not None:
