@@ -61,25 +61,6 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunks()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token, ids = batch.column(0), batch.column(1)
-        place = pc.shift_right(ids, SLICE_BITS)
-        new = pc.or_(pc.not_equal(token[1:], token[:-1]), pc.not_equal(pc.fill_null(place[1:], -1), pc.fill_null(place[:-1], -1)))
-        # An id may be -1 too: a NULL next to it begins a run as well.
-        new = pc.or_(new, pc.xor(pc.is_null(place[1:]), pc.is_null(place[:-1])))
-        first = np.concatenate([[0], np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1])
-        offsets = pa.array(np.append(first, batch.num_rows).astype("int32"))
-        yield pa.RecordBatch.from_arrays([token.take(pa.array(first)), place.take(pa.array(first)), pa.ListArray.from_arrays(offsets, ids)], _FIELDS)
-
-
 def gathered(corpus: DataFrame) -> DataFrame:
     """The chunks of a corpus (doc_id, text), each token of a text once."""
     return corpus.select("doc_id", "text").mapInArrow(_gather, CHUNKS)
-
-
-def runs(postings: DataFrame) -> DataFrame:
-    """The chunks of postings, best of sorted ones: neighbours of the same token are put together."""
-    return postings.select("token", "doc_id").mapInArrow(_runs, CHUNKS)

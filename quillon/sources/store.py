@@ -28,21 +28,29 @@ def bucket_of(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def placed(chunked: DataFrame, buckets: int, tasks: int) -> DataFrame:
-    """(token, doc_id, bucket) of chunks, in sorted partitions of one bucket each.
+def _parted(rows: DataFrame, place: Column, buckets: int, tasks: int) -> DataFrame:
+    """Rows with a token and a place among the slices of its list, in partitions of one bucket each.
 
-    A task is chosen by hash, so chunks are made once: ranges would need a
+    The task is chosen by hash, so the rows are made once: ranges would need a
     sample, for which all texts would be cut into words once more. A common
     word's list is split over the tasks of its bucket by slice.
     """
     each = -(-tasks // buckets)
-    bucket = bucket_of(F.col("token"), buckets)
     # The 32-bit hash here, as the bucket is taken from the 64-bit one.
-    part = (bucket * each + F.pmod(F.hash("token", "slice"), F.lit(each))).cast("int").alias("_part")
-    rows = chunked.select("token", "slice", "ids", bucket.alias("bucket"), part).repartitionById(buckets * each, "_part")
-    # Chunks in order, that the sort of their ids finds long runs: sorting those takes little more than reading them.
-    ordered = rows.withColumn("_first", F.get("ids", F.lit(0))).sortWithinPartitions("bucket", "token", "slice", "_first")
-    return ordered.select("token", F.explode("ids").alias("doc_id"), "bucket").sortWithinPartitions("bucket", "token", "doc_id")
+    part = (F.col("bucket") * each + F.pmod(F.hash(F.col("token"), place), F.lit(each))).cast("int")
+    return rows.withColumn("bucket", bucket_of(F.col("token"), buckets)).repartitionById(buckets * each, part)
+
+
+def _of_chunks(chunked: DataFrame, buckets: int, tasks: int) -> DataFrame:
+    """(token, doc_id, bucket) of chunks. They are put in order, that their ids are nearly sorted."""
+    rows = _parted(chunked, F.col("slice"), buckets, tasks).withColumn("_first", F.get("ids", F.lit(0)))
+    return rows.sortWithinPartitions("bucket", "token", "slice", "_first").select("token", F.explode("ids").alias("doc_id"), "bucket")
+
+
+def _of_rows(postings: DataFrame, buckets: int, tasks: int) -> DataFrame:
+    """(token, doc_id, bucket) of postings that are stored, sorted, and so cheap to shuffle as they are."""
+    rows = postings.select("token", "doc_id")
+    return _parted(rows, F.shiftright("doc_id", ch.SLICE_BITS), buckets, tasks)
 
 
 class Store:
@@ -82,28 +90,33 @@ class Store:
 
     def add(self, corpus: DataFrame) -> str:
         """Write the corpus (doc_id, name, text) as a new segment; doc_id must be new."""
-        return self._write(ix.docs(corpus), ch.gathered(corpus), self._settle(corpus), corpus)
+        buckets = self._settle(corpus)
+        return self._write(ix.docs(corpus), _of_chunks(ch.gathered(corpus), buckets, self._tasks(buckets, corpus)))
 
     def compact(self) -> None:
         """Make all segments one. Readers see the old ones until the new one is whole; then they are deleted."""
         old = self.segments()
         if len(old) < 2:
             return
-        held = self.postings().select("token", "doc_id")
-        self._write(self.docs(), ch.runs(held), self.buckets, held, upto=int(old[-1][4:]))
+        held, buckets = self.postings(), self.buckets
+        self._write(self.docs(), _of_rows(held, buckets, self._tasks(buckets, held)), self.terms(), int(old[-1][4:]))
         for name in old:
             self._fs().delete(self._hadoop(f"{self.path}/{name}"), True)
 
-    def _write(self, docs: DataFrame, chunked: DataFrame, buckets: int, sized: DataFrame, upto: int | None = None) -> str:
+    def _tasks(self, buckets: int, sized: DataFrame) -> int:
+        return max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(sized) // TASK_BYTES)
+
+    def _write(self, docs: DataFrame, placed: DataFrame, terms: DataFrame | None = None, upto: int | None = None) -> str:
+        """A new segment of partitions that hold one bucket each; terms are counted from the postings, if there are none yet."""
         number = int(s[-1][4:]) + 1 if (s := self.segments()) else 0
         segment = f"{self.path}/seg-{number:05d}"
         fs = self._fs()
         fs.delete(self._hadoop(segment), True)  # left over from a save that failed
         docs.write.parquet(f"{segment}/docs")
-        tasks = max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(sized) // TASK_BYTES)
-        placed(chunked, buckets, tasks).write.partitionBy("bucket").parquet(f"{segment}/postings")
-        written = self._read([f"{segment}/postings"], "postings")
-        ix.terms(written).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{segment}/terms")
+        placed.sortWithinPartitions("bucket", "token", "doc_id").write.partitionBy("bucket").parquet(f"{segment}/postings")
+        if terms is None:
+            terms = ix.terms(self._read([f"{segment}/postings"], "postings"))
+        terms.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{segment}/terms")
         if upto is not None:
             fs.create(self._hadoop(f"{segment}/{UPTO}{upto:05d}")).close()
         fs.create(self._hadoop(f"{segment}/{MARKER}")).close()

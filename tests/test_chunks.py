@@ -39,8 +39,6 @@ def test_chunks_hold_all_postings(spark, monkeypatch, at_once):
     monkeypatch.setattr(ch, "GATHERED", at_once)
     expected = _pairs(ix.postings(spark.createDataFrame(DOCS, "doc_id long, text string")))
     assert _flat(ch._gather(_batches(DOCS, {"doc_id": pa.int64(), "text": pa.string()}))) == expected
-    for rows in (expected, expected[::-1], expected[::2] + expected[1::2]):
-        assert _flat(ch._runs(_batches(rows, {"token": pa.string(), "doc_id": pa.int64()}))) == expected
 
 
 def test_stored_postings_are_all_and_sorted(spark, tmp_path):
@@ -65,3 +63,19 @@ def test_a_corpus_is_read_once_for_its_postings(spark, tmp_path):
     corpus = spark.createDataFrame([(i, f"n{i}", "x y") for i in range(20)], "doc_id long, name string, text string").coalesce(1)
     Store(spark, str(tmp_path / "i")).add(corpus.mapInArrow(note, corpus.schema))
     assert len(list(seen.iterdir())) == 2
+
+
+def test_compaction_adds_up_term_tables(spark, tmp_path, monkeypatch):
+    """Postings aren't counted again, and neither sampled nor shuffled one by one."""
+    store = Store(spark, str(tmp_path / "i"), 2)
+    for part in (DOCS[:4], DOCS[4:]):
+        store.add(spark.createDataFrame(part, "doc_id long, text string").selectExpr("doc_id", "concat('n', doc_id) AS name", "text"))
+    held, counts = _pairs(store.postings()), sorted(map(tuple, store.terms().collect()))
+
+    def counted(_):
+        raise AssertionError("postings were counted again")
+
+    monkeypatch.setattr(ix, "terms", counted)
+    store.compact()
+    assert len(store.segments()) == 1
+    assert _pairs(store.postings()) == held and sorted(map(tuple, store.terms().collect())) == counts
