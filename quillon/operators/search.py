@@ -10,6 +10,8 @@ from quillon.functions.text import distinct_tokens, query_terms
 
 #: Rows of ids or tokens up to which a join side is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Tokens of a batch up to which all pairs of a query and a document that share one are counted at once.
+FEW_TOKENS = 100
 
 
 def search_and(postings: DataFrame, query: str | list[str]) -> DataFrame:
@@ -81,12 +83,42 @@ def query_tokens(queries: DataFrame, key: str = "qid", text: str = "text") -> Da
     return held.select(key, F.explode("_tokens").alias("token"), F.size("_tokens").alias("n"))
 
 
+def _rarest(asked: DataFrame, postings: DataFrame, key: str) -> DataFrame | None:
+    """(qid, token) with the rarest token of every query whose tokens all occur.
+
+    None if the postings of those tokens are too many to broadcast, or if a
+    query's key occurs twice. Costs one pass over the postings.
+    """
+    whole = asked.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.min("n").alias("_n"), F.max("n").alias("_top"))
+    if not whole.where((F.col("_rows") != F.col("_n")) | (F.col("_rows") != F.col("_top"))).isEmpty():
+        return None
+    df = postings.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    known = asked.join(df, "token").groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), F.min("n").alias("_n"), F.min(F.struct("_df", "token")).alias("_least"))
+    rows = known.where(F.col("_rows") == F.col("_n")).select(key, "_least.token", "_least._df").collect()
+    if sum(r["_df"] for r in rows) > BROADCAST_ROWS:
+        return None
+    return asked.sparkSession.createDataFrame([(r[key], r["token"]) for r in rows], asked.select(key, "token").schema)
+
+
 def batch_hits(queries: DataFrame, postings: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
-    """(qid, doc_id) of all matches of all queries, in one plan."""
+    """(qid, doc_id) of all matches of all queries, in one plan; a doc_id is one document's.
+
+    A large batch first finds the documents that hold the rarest token of a
+    query, and counts the other tokens in those alone: nearly every query and
+    document share some common word, and pairs of them are too many to hold.
+    """
     asked = query_tokens(queries, key, text)
     # The tokens of the queries, not the postings, are what is broadcast; beyond the limit both sides are shuffled.
-    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = postings.join(F.broadcast(asked) if small else asked.hint("merge"), "token")
+    n = asked.limit(BROADCAST_ROWS + 1).count()
+    small = n <= BROADCAST_ROWS
+    rarest = _rarest(asked, postings, key) if small and n > FEW_TOKENS else None
+    if rarest is None:
+        rows = postings.join(F.broadcast(asked) if small else asked.hint("merge"), "token")
+    else:
+        likely = postings.join(F.broadcast(rarest), "token").select(F.col(key).alias("_q"), F.col("doc_id").alias("_d")).distinct()
+        held = postings.join(F.broadcast(likely), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+        rows = held.join(F.broadcast(asked), "token")
+        rows = rows.join(F.broadcast(likely), F.col(key).eqNullSafe(F.col("_q")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     matched = rows.groupBy(key, "doc_id").agg(F.count(F.lit(1)).alias("_got"), F.first("n").alias("_n"))
     return matched.where(F.col("_got") == F.col("_n")).select(key, "doc_id")
 
