@@ -88,6 +88,8 @@ class Engine:
 
     def run(self, commands: DataFrame) -> DataFrame:
         """Answer a table of (id, cmd, query) in one plan."""
+        if self._live and not self._live["postings"].is_cached:
+            return self.store.run(commands)
         postings = self._live["postings"] if self._live else self.spark.createDataFrame([], "token string, doc_id long")
         return sx.run_commands(commands, postings)
 

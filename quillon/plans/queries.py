@@ -197,7 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_get_term": lambda spark, sf_dir: _stored(spark, sf_dir).lookup(["the"]).select("doc_id"),
     "stored_search_names": _stored_names,
     "stored_count": _stored_count,
-    "stored_commands": lambda spark, sf_dir: sx.run_commands(spark.createDataFrame(COMMANDS, "id long, cmd string, query string"), _stored(spark, sf_dir).postings()),
+    "stored_commands": lambda spark, sf_dir: _stored(spark, sf_dir).run(spark.createDataFrame(COMMANDS, "id long, cmd string, query string")),
     "stored_compacted": _stored_compacted,
     "jsonl_source": _jsonl,
     "posting_tier": _on_postings(ls.tier),

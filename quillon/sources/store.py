@@ -21,6 +21,8 @@ from quillon.sources.scratch import input_bytes
 MARKER, UPTO, COUNT = "_LIVE", "_UPTO-", "_BUCKETS-"
 #: Bytes of input for each bucket and each task of a new index.
 BUCKET_BYTES, TASK_BYTES = 1 << 30, 64 << 20
+#: Words of a table of commands up to which only their lists are read.
+LOOKUP_TOKENS = 1000
 EMPTY = {"docs": "doc_id long, name string", "terms": "token string, df long", "postings": "token string, doc_id long, bucket int"}
 
 
@@ -157,6 +159,11 @@ class Store:
         ordered = sorted(dict.fromkeys(tokens), key=known.__getitem__)
         return sx.search_ordered(self.lookup(ordered), ordered, known[ordered[0]])
 
+    def run(self, commands: DataFrame) -> DataFrame:
+        """Answer a table (id, cmd, query) from the lists of its words; all lists are read only if the words are very many."""
+        words = sx.query_tokens(commands, "id", "query").select("token").distinct().limit(LOOKUP_TOKENS + 1).collect()
+        return sx.run_commands(commands, self.lookup([r.token for r in words]) if len(words) <= LOOKUP_TOKENS else self.postings())
+
     def next_id(self) -> int:
         top = self.docs().agg(F.max("doc_id")).first()[0]
         return 0 if top is None else top + 1
