@@ -10,6 +10,8 @@ streaming leaves behind, are made one by :meth:`Store.compact`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from quillon.sources.scratch import input_bytes
 MARKER, UPTO, COUNT = "_LIVE", "_UPTO-", "_BUCKETS-"
 #: Bytes of input for each bucket and each task of a new index.
 BUCKET_BYTES, TASK_BYTES = 1 << 30, 64 << 20
+#: Texts of a new segment for each task at least: a few that were filtered from a large table need few tasks and files.
+TASK_TEXTS = 64
 #: Words of a table of commands up to which only their lists are read.
 LOOKUP_TOKENS = 1000
 EMPTY = {"docs": "doc_id long, name string", "terms": "token string, df long", "postings": "token string, doc_id long, bucket int"}
@@ -93,7 +97,7 @@ class Store:
     def add(self, corpus: DataFrame) -> str:
         """Write the corpus (doc_id, name, text) as a new segment; doc_id must be new."""
         buckets = self._settle(corpus)
-        return self._write(ix.docs(corpus), _of_chunks(ch.gathered(corpus), buckets, self._tasks(buckets, corpus)))
+        return self._write(ix.docs(corpus), lambda n: _of_chunks(ch.gathered(corpus), buckets, max(buckets, min(self._tasks(buckets, corpus), n // TASK_TEXTS))))
 
     def compact(self) -> None:
         """Make all segments one. Readers see the old ones until the new one is whole; then they are deleted."""
@@ -101,20 +105,24 @@ class Store:
         if len(old) < 2:
             return
         held, buckets = self.postings(), self.buckets
-        self._write(self.docs(), _of_rows(held, buckets, self._tasks(buckets, held)), self.terms(), int(old[-1][4:]))
+        self._write(self.docs(), lambda _: _of_rows(held, buckets, self._tasks(buckets, held)), self.terms(), int(old[-1][4:]))
         for name in old:
             self._fs().delete(self._hadoop(f"{self.path}/{name}"), True)
 
     def _tasks(self, buckets: int, sized: DataFrame) -> int:
         return max(buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(sized) // TASK_BYTES)
 
-    def _write(self, docs: DataFrame, placed: DataFrame, terms: DataFrame | None = None, upto: int | None = None) -> str:
-        """A new segment of partitions that hold one bucket each; terms are counted from the postings, if there are none yet."""
+    def _write(self, docs: DataFrame, place: Callable[[int], DataFrame], terms: DataFrame | None = None, upto: int | None = None) -> str:
+        """A new segment. ``place`` gives, for a number of texts, the postings in partitions that hold one bucket each.
+
+        Terms are counted from the postings, if there are none yet.
+        """
         number = int(s[-1][4:]) + 1 if (s := self.segments()) else 0
         segment = f"{self.path}/seg-{number:05d}"
         fs = self._fs()
         fs.delete(self._hadoop(segment), True)  # left over from a save that failed
         docs.write.parquet(f"{segment}/docs")
+        placed = place(self._read([f"{segment}/docs"], "docs").count())
         placed.sortWithinPartitions("bucket", "token", "doc_id").write.partitionBy("bucket").parquet(f"{segment}/postings")
         if terms is None:
             terms = ix.terms(self._read([f"{segment}/postings"], "postings"))
