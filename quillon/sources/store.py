@@ -170,7 +170,11 @@ class Store:
     def run(self, commands: DataFrame) -> DataFrame:
         """Answer a table (id, cmd, query) from the lists of its words; all lists are read only if the words are very many."""
         words = sx.query_tokens(commands, "id", "query").select("token").distinct().limit(LOOKUP_TOKENS + 1).collect()
-        return sx.run_commands(commands, self.lookup([r.token for r in words]) if len(words) <= LOOKUP_TOKENS else self.postings())
+        if len(words) > LOOKUP_TOKENS:
+            return sx.run_commands(commands, self.postings())
+        lists = self.lookup([r.token for r in words])
+        # Files that hold a common word are the largest, which Spark puts into one task; there each id is counted once a command.
+        return sx.run_commands(commands, lists.repartition("doc_id") if len(words) <= sx.FEW_TOKENS else lists)
 
     def next_id(self) -> int:
         top = self.docs().agg(F.max("doc_id")).first()[0]

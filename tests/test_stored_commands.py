@@ -39,6 +39,14 @@ def test_same_answers_as_over_all_postings(spark, tmp_path, monkeypatch, limit):
         assert _all(store.run(_asked(spark, rows))) == _all(sx.run_commands(_asked(spark, rows), store.postings()))
 
 
+def test_a_common_word_is_counted_by_many_tasks(spark, tmp_path):
+    """Lists are dealt out by doc_id before they are paired with commands, and the pairs aren't shuffled again."""
+    store = Store(spark, str(tmp_path / "i"), 2)
+    store.add(spark.range(100).selectExpr("id AS doc_id", "concat('n', id) AS name", "'the' AS text"))
+    plan = store.run(_asked(spark, COMMANDS[:2]))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not any("Exchange hashpartitioning(id" in x and "doc_id" in x for x in plan.splitlines())
+
+
 def test_an_index_without_segments_answers_nothing_found(spark, tmp_path):
     assert _all(Store(spark, str(tmp_path / "i")).run(_asked(spark, COMMANDS[:2]))) == [(0, "COUNT", 0), (1, "COUNT", 0)]
 
